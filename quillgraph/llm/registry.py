@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, mixing, rules, simhash
 
 ORACLES: dict[str, str] = {}
 
@@ -30,4 +30,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_byte_bpe)}
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs)
+
+
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = rules.quality(docs, table(spark, sf_dir, "labels"))
+    return found.drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op9_decision_list)}
