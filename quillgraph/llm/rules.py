@@ -69,7 +69,8 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) and base_failed.
+    """``docs`` with n_words, word_chars, n_symbols, n_upper, n_marks, n_distinct_words, n_dup_lines, n_repeat_words
+    (all long) and base_failed.
 
     A null text counts as one without words. Columns of ``docs`` with these names are replaced.
     """
@@ -79,6 +80,9 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kept = kept.withColumn("n_words", F.size("_words").cast("long"))
     kept = kept.withColumn("word_chars", F.char_length(F.array_join("_words", "")).cast("long"))
     kept = kept.withColumn("n_symbols", F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"))
+    kept = kept.withColumn("n_upper", F.regexp_count("_text", F.lit("\\p{Lu}")).cast("long"))
+    kept = kept.withColumn("n_marks", F.regexp_count("_text", F.lit("[!?]")).cast("long"))
+    kept = kept.withColumn("n_distinct_words", F.size(F.array_distinct("_words")).cast("long"))
     kept = kept.withColumn("n_dup_lines", _bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
     kept = kept.withColumn("n_repeat_words", repeated_words(F.col("_words")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -92,9 +96,15 @@ FEATURES = {
     "symbol_rate": "n_symbols / greatest(n_words, 1)",
     "dup_lines": "double(n_dup_lines)",
     "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
+    "upper_rate": "n_upper / greatest(word_chars, 1)",
+    "mark_rate": "n_marks / greatest(n_words, 1)",
+    "distinct_rate": "n_distinct_words / sqrt(greatest(n_words, 1))",
 }
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_distinct_words", "n_dup_lines", "n_repeat_words"]
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
@@ -193,7 +203,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     chosen = chosen.orderBy(F.xxhash64(F.lit("fit"), id_col), id_col).limit(fit_rows).withColumnRenamed(id_col, "_id")
     joined = docs.select(F.col(id_col).alias("_key"), F.col("text").alias("text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id"))
     stats = statistics(joined, "text").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(3)).cast("int"))
-    return stats.select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("_quality").alias("quality"), "fold")
+    return stats.select(*COUNTS, F.col("_quality").alias("quality"), "fold")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DecisionList]:
