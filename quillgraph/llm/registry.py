@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, rules, simhash
+from . import bpe, mixing, rules, simhash, tokencount
 
 ORACLES: dict[str, str] = {}
 
@@ -35,10 +35,15 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op6_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokencount.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = rules.quality(docs, table(spark, sf_dir, "labels"))
     return found.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op9_decision_list)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op6_transducer_token_counts, op9_decision_list)}
