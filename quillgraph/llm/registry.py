@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, rules, simhash, tokencount
+from . import bpe, language, mixing, rules, simhash, tokencount
 
 ORACLES: dict[str, str] = {}
 
@@ -35,6 +35,13 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op5_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    rows = docs.select("doc_id", "text", language.held_out().alias("held_out"))
+    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokencount.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.withColumnRenamed("id", "doc_id")
@@ -46,4 +53,4 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op6_transducer_token_counts, op9_decision_list)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op5_crf_language_id, op6_transducer_token_counts, op9_decision_list)}
