@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, rules, simhash, tokencount
+from . import bpe, html, language, mixing, rules, simhash, tokencount
 
 ORACLES: dict[str, str] = {}
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,4 +57,4 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op5_crf_language_id, op6_transducer_token_counts, op9_decision_list)}
+QUERIES = {f.__name__: f for f in (op1_tag_path_ratios, op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op5_crf_language_id, op6_transducer_token_counts, op9_decision_list)}
