@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html, language, mixing, rules, simhash, tokencount
+from . import audio, bpe, html, language, lines, mixing, rules, simhash, tokencount
 
 ORACLES: dict[str, str] = {}
 
@@ -51,6 +51,10 @@ def op6_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.media_columns(table(spark, sf_dir, "documents")))
 
@@ -61,4 +65,4 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_tag_path_ratios, op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op5_crf_language_id, op6_transducer_token_counts, op8_audio_features, op9_decision_list)}
+QUERIES = {f.__name__: f for f in (op1_tag_path_ratios, op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op5_crf_language_id, op6_transducer_token_counts, op7_fuzzy_line_dedup, op8_audio_features, op9_decision_list)}
