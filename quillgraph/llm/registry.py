@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html, language, lines, mixing, rules, simhash, tokencount
+from . import audio, bpe, html, language, licenses, lines, mixing, rules, simhash, tokencount
 
 ORACLES: dict[str, str] = {}
 
@@ -65,4 +65,8 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_tag_path_ratios, op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op5_crf_language_id, op6_transducer_token_counts, op7_fuzzy_line_dedup, op8_audio_features, op9_decision_list)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_tag_path_ratios, op2_simhash_near_dedup, op3_pfair_mixing, op4_byte_bpe, op5_crf_language_id, op6_transducer_token_counts, op7_fuzzy_line_dedup, op8_audio_features, op9_decision_list, op10_license_scan)}
