@@ -30,7 +30,7 @@ STREAM, MOST_WORDS = 1 << 18, 500_000
 #: All templates together, in words, at most: they are sent to every task.
 MOST_TEMPLATE_WORDS = 200_000
 
-WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+WORD = re.compile(r"[^\W_]+")
 
 # Notices as their licenses word them.
 TEMPLATES = {
@@ -185,7 +185,7 @@ class Index:
 
 
 def verify(words: list[str], template: Template, around: int, least: float) -> tuple[float, int, int] | None:
-    """The best span near a word place: ``(containment, first word, end)``, or None below ``least``."""
+    """The best span that meets the window at ``around``: ``(containment, first word, end)``, or None below ``least``."""
     reach = int(len(template.words) * STRETCH) + 1
     first, stop = max(0, around - reach), min(len(words), around + WINDOW + reach)
     places = [i for i in range(first, stop - SHINGLE + 1) if tuple(words[i : i + SHINGLE]) in template.shingles]
@@ -200,7 +200,7 @@ def verify(words: list[str], template: Template, around: int, least: float) -> t
                 del inside[old]
             left += 1
         share = len(inside) / len(template.shingles)
-        if share > best[0]:
+        if share > best[0] and i + SHINGLE > around and places[left] < around + min(WINDOW, len(template.words)):
             best = (share, places[left], i + SHINGLE)
     return best if best[0] >= least else None
 
