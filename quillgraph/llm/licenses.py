@@ -184,25 +184,40 @@ class Index:
         return np.unique(np.r_[starts, last])
 
 
-def verify(words: list[str], template: Template, around: int, least: float) -> tuple[float, int, int] | None:
-    """The best span that meets the window at ``around``: ``(containment, first word, end)``, or None below ``least``."""
-    reach = int(len(template.words) * STRETCH) + 1
-    first, stop = max(0, around - reach), min(len(words), around + WINDOW + reach)
-    places = [i for i in range(first, stop - SHINGLE + 1) if tuple(words[i : i + SHINGLE]) in template.shingles]
-    best, inside, left = (0.0, 0, 0), {}, 0
-    for right, i in enumerate(places):
-        key = tuple(words[i : i + SHINGLE])
-        inside[key] = inside.get(key, 0) + 1
-        while i + SHINGLE - places[left] > max(reach, len(template.words)):
-            old = tuple(words[places[left] : places[left] + SHINGLE])
-            inside[old] -= 1
-            if not inside[old]:
-                del inside[old]
-            left += 1
-        share = len(inside) / len(template.shingles)
-        if share > best[0] and i + SHINGLE > around and places[left] < around + min(WINDOW, len(template.words)):
-            best = (share, places[left], i + SHINGLE)
-    return best if best[0] >= least else None
+def verify(words: list[str], template: Template, around: list[int], least: float) -> list[tuple[float, int, int]]:
+    """Spans apart from each other near word places, ``(containment, first word, end)``, each of ``least`` or more.
+
+    From left to right: the window over the template's shingles grows to the right and drops what is too far off or
+    comes again; the best so far is taken once a template's length has passed without a better one.
+    """
+    reach = max(int(len(template.words) * STRETCH) + 1, len(template.words))
+    near: dict[int, tuple[str, ...]] = {}
+    for place in around:
+        for i in range(max(0, place - reach), min(len(words) - SHINGLE + 1, place + WINDOW + reach)):
+            if i not in near and (key := tuple(words[i : i + SHINGLE])) in template.shingles:
+                near[i] = key
+    places = sorted(near)
+    found, right, start = [], 0, 0
+    while start < len(places):
+        best, inside, left = (0.0, 0, 0), {}, start
+        for right in range(start, len(places)):
+            i = places[right]
+            if best[0] >= least and i >= best[2] + len(template.words):
+                break
+            inside[near[i]] = inside.get(near[i], 0) + 1
+            while i + SHINGLE - places[left] > reach or inside[near[places[left]]] > 1:
+                inside[near[places[left]]] -= 1
+                if not inside[near[places[left]]]:
+                    del inside[near[places[left]]]
+                left += 1
+            if (share := len(inside) / len(template.shingles)) > best[0]:
+                best = (share, places[left], i + SHINGLE)
+        if best[0] < least:
+            break
+        found.append(best)
+        while start < len(places) and places[start] < best[2]:
+            start += 1
+    return found
 
 
 def scan_texts(texts: list[str | None], index: Index, least: float = CONTAINMENT) -> list[list[tuple[str, float, int, int]]]:
@@ -219,13 +234,10 @@ def scan_texts(texts: list[str | None], index: Index, least: float = CONTAINMENT
             hits.setdefault((which, number), []).append(place - (int(ends[which - 1]) if which else 0))
         for (which, number), places in sorted(hits.items()):
             k, words = held[which]
-            spans = {s for p in places if (s := verify(words, index.templates[number], p, least))}
-            taken: list[tuple[int, int]] = []
-            for share, a, b in sorted(spans, key=lambda s: (-s[0], s[1])):
-                if all(b <= x or y <= a for x, y in taken):
-                    taken.append((a, b))
-                    at = [m.span() for m in WORD.finditer(texts[k].lower())] if len(texts[k].lower()) == len(texts[k]) else _spans(texts[k])
-                    found[k].append((index.templates[number].name, share, at[a][0], at[b - 1][1]))
+            at = None
+            for share, a, b in verify(words, index.templates[number], places, least):
+                at = at or _spans(texts[k])
+                found[k].append((index.templates[number].name, share, at[a][0], at[b - 1][1]))
 
     for k, text in enumerate(texts):
         if text and len(words := words_of(text)) >= SHINGLE:
@@ -238,7 +250,9 @@ def scan_texts(texts: list[str | None], index: Index, least: float = CONTAINMENT
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
-    """Word spans where lower case changes a text's length: places of the lowered text, taken back."""
+    """Word spans of the lowered text, taken back to the text where lower case changes its length."""
+    if len(text.lower()) == len(text):
+        return [m.span() for m in WORD.finditer(text.lower())]
     back = [k for k, c in enumerate(text) for _ in c.lower()] + [len(text)]
     return [(back[m.start()], back[m.end() - 1] + 1) for m in WORD.finditer("".join(c.lower() for c in text))]
 

@@ -19,7 +19,7 @@ CYCLE = 1000
 #: Rows of one block.
 BLOCK_ROWS = 32
 #: Rows of a source that are numbered together, about; larger sources are split into that many parts.
-PART_ROWS = 20_000
+PART_ROWS = 1_000
 
 
 def shares(sizes: DataFrame, temperature: float = 0.5, cycle: int = CYCLE) -> DataFrame:
