@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Labelled texts a language that the model is fitted on at most, and words of each that it takes.
@@ -274,7 +275,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     at most ``MOST_LANGUAGES`` columns of weights and a lexicon from the bounded sample.
     """
     rows = docs.drop("lang_pred", "score")
-    at = rows.columns.index(text_col)
+    names = list(rows.columns)
+    at = names.index(text_col)
     packed = None if model is None else Model(model.languages, model.weights.astype(np.float32), model.moves, model.lexicon)
 
     def run(batches):
@@ -285,7 +287,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                 texts = part.column(at).to_pylist()
                 found = labeller.texts(texts) if labeller else [(NO_LANGUAGE, 0.0)] * len(texts)
                 columns = [*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
-                yield pa.record_batch(columns, [*rows.columns, "lang_pred", "score"])
+                yield pa.record_batch(columns, [*names, "lang_pred", "score"])
 
-    schema = rows.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
