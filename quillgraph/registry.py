@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import graph_queries, view_queries  # noqa: F401  (they register themselves)
+from .plans.define import ORACLES, QUERIES
+
 FLAGSHIP = "idle_customers"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
