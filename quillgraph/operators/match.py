@@ -52,7 +52,7 @@ class Match:
             rows = rows.where(F.col(name).eqNullSafe(value if isinstance(value, Column) else F.lit(value)))
         if where is not None:
             rows = rows.where(F.coalesce(where(rows), F.lit(False)))
-        return rows.select(F.col(kind.id_col).alias(f"{var}__id"), *[F.col(c).alias(f"{var}__{c}") for c in rows.columns])
+        return rows.select(F.col(kind.id_col).alias(f"{var}__id"), *[F.col(c).alias(f"{var}__{c}") for c in rows.columns if c != "id"])
 
     def node(self, var: str, label: str, where=None, **props) -> Match:
         """``(var:label {props})`` as a pattern of its own; beside other patterns it is a bounded product."""
