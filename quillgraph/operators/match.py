@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.graph import Graph, vertex_key
+from ..sources.tables import written
 
 #: Hops of an unbounded variable-length step at most.
 MOST_HOPS = 10
@@ -110,8 +111,8 @@ class Match:
     def reach(self, start: str, name: str, end: str, least: int = 0, most: int = MOST_HOPS, direction: str = "out", where=None, **props) -> Match:
         """``(start)-[:name*least..most]->(end)``: every vertex that some path without a repeated vertex reaches, once.
 
-        A level's frontier is joined with the links; with ``least`` of 0 or 1 a vertex that was reached before need
-        not be walked again, so a level holds each (start, vertex) once. Longer minima keep the paths themselves.
+        Level by level, each written out before the next, until a level is empty. With ``least`` of 0 or 1 a level
+        holds only what no level before it had (its distance is the smallest); longer minima keep the paths.
         """
         here, there = self._end(start, name, direction)
         if here != there:
@@ -120,21 +121,26 @@ class Match:
             raise PatternError(f"between 0 and {MOST_HOPS} hops")
         kind = self.graph.vertices[here]
         live = kind.live().select(F.col(kind.id_col).alias("there"))
-        pairs = self._pairs(start, name, direction).join(live, "there", "left_semi")
-        level = self.df.select(F.col(f"{start}__id").alias("start")).where("start IS NOT NULL").distinct()
-        level = level.select("start", F.col("start").alias("at"), F.array("start").alias("path"))
-        found = [level.select("start", "at")] if least == 0 else []
+        pairs = written(self._pairs(start, name, direction).join(live, "there", "left_semi"), "pairs")
+        starts = self.df.select(F.col(f"{start}__id").alias("start")).where("start IS NOT NULL").distinct()
+        level = written(starts.select("start", F.col("start").alias("at"), F.array("start").alias("path")), "level")
+        levels = [level]
         for depth in range(1, most + 1):
-            step = level.join(pairs, level["at"] == pairs["here"]).where(~F.array_contains("path", F.col("there")))
-            level = step.select("start", F.col("there").alias("at"), F.concat("path", F.array("there")).alias("path"))
+            step = level.join(pairs, level["at"] == pairs["here"])
             if least <= 1:
-                level = level.groupBy("start", "at").agg(F.min_by("path", F.array_join(F.col("path").cast("array<string>"), ".")).alias("path"))
-            if depth >= least:
-                found.append(level.select("start", "at"))
-        reached = found[0]
-        for more in found[1:]:
-            reached = reached.unionByName(more)
-        reached = reached.distinct().select(F.col("start").alias(f"{start}__id"), F.col("at").alias(f"{end}__id"))
+                step = step.select("start", F.col("there").alias("at"), F.array("start").alias("path")).dropDuplicates(["start", "at"])
+                for old in levels:
+                    step = step.join(old.select("start", "at"), ["start", "at"], "left_anti")
+            else:
+                step = step.where(~F.array_contains("path", F.col("there"))).select("start", F.col("there").alias("at"), F.concat("path", F.array("there")).alias("path"))
+            level = written(step, "level")
+            if level.isEmpty():
+                break
+            levels.append(level)
+        reached = levels[0].select("start", "at").limit(0) if least >= len(levels) else levels[least].select("start", "at")
+        for more in levels[least + 1 :]:
+            reached = reached.unionByName(more.select("start", "at"))
+        reached = (reached if least <= 1 else reached.distinct()).select(F.col("start").alias(f"{start}__id"), F.col("at").alias(f"{end}__id"))
         ends = reached.join(self._vertices(end, there, where, props), f"{end}__id")
         return self._with(self.df.join(ends, f"{start}__id"), **{end: there})
 
