@@ -47,6 +47,24 @@ class LinkType:
         return rows if payload or (self.unique and direction != "both") else rows.distinct()
 
 
+class OnDemand(dict):
+    """A dict whose values are made when first asked for: a query opens only the tables that it names."""
+
+    def __init__(self, makers: dict):
+        super().__init__()
+        self.makers = makers
+
+    def __missing__(self, key):
+        self[key] = found = self.makers[key]()
+        return found
+
+    def __contains__(self, key) -> bool:
+        return super().__contains__(key) or key in self.makers
+
+    def get(self, key, default=None):
+        return self[key] if key in self else default
+
+
 @dataclass
 class Graph:
     spark: SparkSession
@@ -67,9 +85,7 @@ class Graph:
 
     def add_links(self, name: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], payload: tuple[str, ...] = (), unique: bool = False) -> Graph:
         """Links from columns of ``df``: (label, column) of either end. Rows with a null end are no links."""
-        rows = df.where(F.col(src[1]).isNotNull() & F.col(dst[1]).isNotNull())
-        kept = [c for c in ("is_deleted", *payload) if c in df.columns]
-        self.links[name] = LinkType(name, rows.select(F.col(src[1]).alias("src"), F.col(dst[1]).alias("dst"), *kept), src[0], dst[0], unique)
+        self.links[name] = link_type(name, df, src, dst, payload, unique)
         return self
 
     def closure(self, label: str, depth: int = 4) -> list[str]:
@@ -83,6 +99,12 @@ class Graph:
         return [x for x in found if x in self.vertices]
 
 
+def link_type(name: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], payload: tuple[str, ...] = (), unique: bool = False) -> LinkType:
+    rows = df.where(F.col(src[1]).isNotNull() & F.col(dst[1]).isNotNull())
+    kept = [c for c in ("is_deleted", *payload) if c in df.columns]
+    return LinkType(name, rows.select(F.col(src[1]).alias("src"), F.col(dst[1]).alias("dst"), *kept), src[0], dst[0], unique)
+
+
 def vertex_key(label: str, id_col: Column | str) -> Column:
     return F.concat(F.lit(f"vtx.{label}."), (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"))
 
@@ -100,23 +122,43 @@ def adjacency(link: LinkType) -> DataFrame:
 
 def warehouse_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The business tables as a graph: keys to other tables are links."""
-    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    g = Graph(spark)
-    ids = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
-    for name, key in ids.items():
-        g.add_vertices("order" if name == "orders" else name, table(name), key)
-    events = table("events")
-    g.add_vertices("event", events, "event_id")
-    g.add_vertices("user", events.select("user_id").distinct(), "user_id")
-    g.add_vertices("document", table("documents"), "doc_id")
-    g.add_vertices("label", table("labels"), "doc_id")
-    g.add_links("inRegion", table("nation"), ("nation", "n_nationkey"), ("region", "n_regionkey"), unique=True)
-    g.add_links("inNation", table("customer"), ("customer", "c_custkey"), ("nation", "c_nationkey"), unique=True)
-    g.add_links("locatedIn", table("supplier"), ("supplier", "s_suppkey"), ("nation", "s_nationkey"), unique=True)
-    g.add_links("placedBy", table("orders"), ("order", "o_orderkey"), ("customer", "o_custkey"), unique=True)
-    lines = table("lineitem")
-    g.add_links("contains", lines, ("order", "l_orderkey"), ("part", "l_partkey"), payload=("l_quantity", "l_extendedprice", "l_linenumber"))
-    g.add_links("suppliedBy", lines, ("part", "l_partkey"), ("supplier", "l_suppkey"))
-    g.add_links("didEvent", events, ("user", "user_id"), ("event", "event_id"), unique=True)
-    g.add_links("labels", table("labels"), ("label", "doc_id"), ("document", "doc_id"), unique=True)
-    return g
+    opened: dict[str, DataFrame] = {}
+
+    def table(name: str) -> DataFrame:
+        if name not in opened:
+            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return opened[name]
+
+    def vertex(label: str, name: str, id_col: str):
+        return label, lambda: VertexType(label, table(name), id_col)
+
+    def link(name: str, of: str, src: tuple[str, str], dst: tuple[str, str], payload: tuple[str, ...] = (), unique: bool = True):
+        return name, lambda: link_type(name, table(of), src, dst, payload, unique)
+
+    vertices = dict(
+        [
+            vertex("region", "region", "r_regionkey"),
+            vertex("nation", "nation", "n_nationkey"),
+            vertex("customer", "customer", "c_custkey"),
+            vertex("supplier", "supplier", "s_suppkey"),
+            vertex("part", "part", "p_partkey"),
+            vertex("order", "orders", "o_orderkey"),
+            vertex("event", "events", "event_id"),
+            vertex("document", "documents", "doc_id"),
+            vertex("label", "labels", "doc_id"),
+            ("user", lambda: VertexType("user", table("events").select("user_id").distinct(), "user_id")),
+        ]
+    )
+    links = dict(
+        [
+            link("inRegion", "nation", ("nation", "n_nationkey"), ("region", "n_regionkey")),
+            link("inNation", "customer", ("customer", "c_custkey"), ("nation", "c_nationkey")),
+            link("locatedIn", "supplier", ("supplier", "s_suppkey"), ("nation", "s_nationkey")),
+            link("placedBy", "orders", ("order", "o_orderkey"), ("customer", "o_custkey")),
+            link("contains", "lineitem", ("order", "l_orderkey"), ("part", "l_partkey"), ("l_quantity", "l_extendedprice", "l_linenumber"), unique=False),
+            link("suppliedBy", "lineitem", ("part", "l_partkey"), ("supplier", "l_suppkey"), unique=False),
+            link("didEvent", "events", ("user", "user_id"), ("event", "event_id")),
+            link("labels", "labels", ("label", "doc_id"), ("document", "doc_id")),
+        ]
+    )
+    return Graph(spark, OnDemand(vertices), OnDemand(links))
