@@ -6,7 +6,7 @@ shuffled or gathered:
 
 1. ``_number_words`` (Arrow): the pattern's matches, numbered per task in order of first appearance. A row carries
    its word numbers and the words that it is the first to show.
-2. ``fold_merges`` (JVM): each new word's bytes, merged pair by pair, lowest rank first, into token ids.
+2. ``fold_merges`` (JVM): each new word's byte array, merged pair by pair, lowest rank first, into token ids.
 3. ``_join_ids`` (Arrow): rows arrive in the same order, so every word's ids are known when a row needs them.
 
 Words are dealt with once per task. After ``MOST_WORDS`` distinct words a task starts a new numbering, so memory is
@@ -42,21 +42,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _bucketed(ranks: dict[bytes, int]) -> list[dict[str, int]]:
-    """The rank map by bucket, keys in hex (JSON holds no bytes)."""
-    found: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        found[_bucket(token)][token.hex().upper()] = rank
-    return found
+def _hash(text: bytes) -> int:
+    """What Spark's ``hash`` gives for a string (its 32-bit Murmur3, seed 42; the last bytes are signed), unsigned."""
+    full = 0xFFFFFFFF
+
+    def mix(h: int, k: int) -> int:
+        k = k * 0xCC9E2D51 & full
+        k = (k << 15 | k >> 17) & full
+        h ^= k * 0x1B873593 & full
+        return (((h << 13 | h >> 19) & full) * 5 + 0xE6546B64) & full
+
+    h, whole = 42, len(text) & ~3
+    for k in range(0, whole, 4):
+        h = mix(h, int.from_bytes(text[k : k + 4], "little"))
+    for byte in text[whole:]:
+        h = mix(h, byte if byte < 128 else byte | 0xFFFFFF00)
+    h ^= len(text)
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    return h ^ h >> 16
+
+
+#: A piece in the fold's state is one character, its id's; ids start above the control characters.
+FIRST, DONE = 0x100, "\u0001"
 
 
-def _bucket(token: bytes) -> int:
-    return zlib.crc32(token.hex().upper().encode()) % BUCKETS
+def pieces_of(word: bytes, ranks: dict[bytes, int]) -> str:
+    """A word's byte array as the fold's state: a character for the id of each byte."""
+    return "".join(chr(FIRST + ranks[word[k : k + 1]]) for k in range(len(word)))
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The whole rank map as one literal, an array of small maps."""
-    return F.from_json(F.lit(json.dumps(_bucketed(ranks))), "array<map<string,int>>")
+    """The rank map as a literal: small maps from two pieces (two characters) to the rank of their union, by hash."""
+    if max(ranks.values()) + FIRST >= 0xD800:
+        raise ValueError("ranks beyond one plane of characters")
+    table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            first, second = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if first is not None and second is not None:
+                pair = chr(FIRST + first) + chr(FIRST + second)
+                table[_hash(pair.encode()) & (BUCKETS - 1)][pair] = rank
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"), ensure_ascii=False)), "array<map<string,int>>")
 
 
 def _bind(value: Column, body) -> Column:
@@ -64,49 +91,33 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _rank(piece: Column, ranks: Column) -> Column:
-    return F.try_element_at(F.get(ranks, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")), piece)
-
-
-def _fold_word(word: Column, ranks: Column) -> Column:
-    """Token ids of one word: the state holds its pieces (hex) and the ranks of neighbouring pieces' unions."""
-    digits = F.hex(word)
-    n = F.octet_length(word)
-    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
-    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: _rank(F.substring(digits, i * 2 + 1, F.lit(4)), ranks))
-    start = F.struct(pieces.alias("p"), pairs.alias("r"))
-    none = F.array().cast("array<int>")
+def _fold_word(word: Column, ranks: Column, chars: Column) -> Column:
+    """The word's pieces, merged: at each step the pair of lowest rank (the leftmost of equals) becomes one piece.
 
-    def step(state, _):
-        p, r = state["p"], state["r"]
+    Pieces are characters, so that a step is a few operations on one short string; ``DONE`` marks that nothing merges.
+    """
 
-        def merge(at):  # at: 1-based place of the pair to merge, 0 if there is none
-            def union(t):
-                left = F.when(at > 1, F.array(_rank(F.concat(F.get(p, at - 2), t), ranks))).otherwise(none)
-                right = F.when(at + 1 < F.size(p), F.array(_rank(F.concat(t, F.get(p, at + 1)), ranks))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(t), F.slice(p, at + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(p))).alias("r"),
-                )
+    def rank(state, i):
+        return _bind(F.substring(state, i, F.lit(2)), lambda pair: F.try_element_at(F.get(ranks, F.hash(pair).bitwiseAND(F.lit(BUCKETS - 1))), pair))
 
-            return F.when(at == 0, state).otherwise(_bind(F.concat(F.get(p, at - 1), F.get(p, at)), union))
+    def merge(state, found):
+        at = F.array_position(found, F.array_min(found)).cast("int")
+        united = lambda k: F.concat(F.substring(state, F.lit(1), k - 1), F.get(chars, F.get(found, k - 1)), F.substring(state, k + 2, F.lit(LONG_WORD)))
+        return _bind(at, lambda k: F.when(k.isNull(), F.concat(state, F.lit(DONE))).otherwise(united(k)))
 
-        lowest = F.array_min(F.transform(r, lambda rank, i: F.shiftleft(rank.cast("long"), 31) + i + 1))
-        return _bind(F.coalesce(lowest.bitwiseAND(F.lit((1 << 31) - 1)), F.lit(0)).cast("int"), merge)
+    def step(state, _):
+        n = F.char_length(state)
+        found = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(state, i))
+        return F.when(F.endswith(state, F.lit(DONE)) | (n < 2), state).otherwise(_bind(found, lambda r: merge(state, r)))
 
-    whole = _rank(digits, ranks)
-    merged = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda state: F.transform(state["p"], lambda x: _rank(x, ranks)))
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(merged)
+    n = F.char_length(word)
+    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), word, step))
 
 
 def fold_merges(words: Column, ranks: dict[bytes, int]) -> Column:
-    """For each word of an array: its ids, or, above ``LONG_WORD`` bytes, the word itself for ``merge_long``."""
-
-    def one(word, table):
-        short = F.octet_length(word) <= LONG_WORD
-        return F.struct(F.when(short, _fold_word(word, table)).alias("ids"), F.when(~short, word).alias("long"))
-
-    return _bind(rank_literal(ranks), lambda table: F.transform(words, lambda w: one(w, table)))
+    """The merged pieces of each word of an array of words, each a character a byte (see ``pieces_of``)."""
+    chars = F.split(F.lit("".join(chr(FIRST + k) for k in range(max(ranks.values()) + 1))), "")
+    return _bind(rank_literal(ranks), lambda table: _bind(chars, lambda c: F.transform(words, lambda w: _fold_word(w, table, c))))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -147,8 +158,13 @@ class _Numbers(dict):
         return number
 
 
-def _number_words(pattern: str, rows: int = 128):
+#: Words above LONG_WORD bytes: their place among the row's new words, and their bytes.
+LONGS = pa.list_(pa.struct([("at", pa.int32()), ("bytes", pa.binary())]))
+
+
+def _number_words(pattern: str, ranks: dict[bytes, int], rows: int = 128):
     def run(batches):
+        single = {b: chr(FIRST + ranks[bytes([b])]) for b in range(256)}
         find, numbers, fresh = regex.compile(pattern), _Numbers(), True
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -162,17 +178,23 @@ def _number_words(pattern: str, rows: int = 128):
                     else:
                         got = np.fromiter(map(numbers.__getitem__, find.findall(text or "")), np.int32)
                     places.append(got)
-                    words.append(numbers.new)
+                    words.append([w.encode() for w in numbers.new])
                     starts.append(fresh)
                     numbers.new, fresh = [], False
-                yield pa.record_batch([part.column(0), _int_lists(places), pa.array(words, pa.list_(pa.string())), pa.array(starts)], ["id", "place", "word", "fresh"])
+                short = [w.decode("latin-1").translate(single) if len(w) <= LONG_WORD else "" for new in words for w in new]
+                lists = pa.ListArray.from_arrays(_offsets(words), pa.array(short, pa.string()))
+                longs = pa.array([[{"at": k, "bytes": w} for k, w in enumerate(new) if len(w) > LONG_WORD] for new in words], LONGS)
+                yield pa.record_batch([part.column(0), _int_lists(places), lists, longs, pa.array(starts)], ["id", "place", "word", "long", "fresh"])
 
     return run
 
 
+def _offsets(values: list) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, values)], dtype=np.int32))
+
+
 def _int_lists(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.array([], np.int32), pa.int32()))
+    return pa.ListArray.from_arrays(_offsets(values), pa.array(np.concatenate(values) if values else np.array([], np.int32), pa.int32()))
 
 
 def _join_ids(ranks: dict[bytes, int], with_bytes: bool, rows: int = 128):
@@ -188,15 +210,11 @@ def _join_ids(ranks: dict[bytes, int], with_bytes: bool, rows: int = 128):
                 batch = whole.slice(at, min(rows, whole.num_rows - at))
                 found = []
                 for k in range(batch.num_rows):
-                    if batch.column(3)[k].as_py():
+                    if batch.column(4)[k].as_py():
                         n_ids = n_words = 0
-                    new = batch.column(2)[k].values
-                    if new is not None and len(new):
-                        ids, longs = new.field("ids"), new.field("long")
-                        if longs.null_count < len(longs):
-                            ids = pa.array([merge_long(w.encode(), ranks) if w is not None else i for i, w in zip(ids.to_pylist(), longs.to_pylist())], pa.list_(pa.int32()))
-                        lens = np.asarray(ids.value_lengths())
-                        more = np.asarray(ids.flatten())
+                    ids = batch.column(2)[k].values
+                    if ids is not None and len(ids):
+                        lens, more = _ids_of(ids, batch.column(3)[k].as_py(), ranks)
                         while n_ids + len(more) > len(flat):
                             flat = np.r_[flat, np.zeros_like(flat)]
                         while n_words + len(lens) + 1 > len(starts):
@@ -215,6 +233,15 @@ def _join_ids(ranks: dict[bytes, int], with_bytes: bool, rows: int = 128):
     return run
 
 
+def _ids_of(folded: pa.Array, longs: list[dict], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each word, and all of them, from the folded pieces and the words too long to fold."""
+    words = [w.removesuffix(DONE) for w in folded.to_pylist()]
+    for x in longs or ():
+        words[x["at"]] = "".join(chr(FIRST + i) for i in merge_long(x["bytes"], ranks))
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    return lens, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32) - FIRST
+
+
 def spread(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """All the indexes of the ranges [first, stop), one range after the other."""
     lens = stop - first
@@ -240,8 +267,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     """
     ranks = read_ranks(rank_file)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    numbered = rows.mapInArrow(_number_words(pattern), "id long, place array<int>, word array<string>, fresh boolean")
-    folded = numbered.select("id", "place", fold_merges(F.col("word"), ranks).alias("word"), "fresh")
+    numbered = rows.mapInArrow(_number_words(pattern, ranks), "id long, place array<int>, word array<string>, long array<struct<at:int,bytes:binary>>, fresh boolean")
+    folded = numbered.select("id", "place", fold_merges(F.col("word"), ranks).alias("word"), "long", "fresh")
     return folded.mapInArrow(_join_ids(ranks, with_bytes), "id long, ids array<int>" + ", bytes binary" * with_bytes)
 
 
