@@ -97,18 +97,19 @@ def _fold_word(word: Column, ranks: Column, chars: Column) -> Column:
     Pieces are characters, so that a step is a few operations on one short string; ``DONE`` marks that nothing merges.
     """
 
-    def rank(state, i):
-        return _bind(F.substring(state, i, F.lit(2)), lambda pair: F.try_element_at(F.get(ranks, F.hash(pair).bitwiseAND(F.lit(BUCKETS - 1))), pair))
+    def rank(pair):
+        return F.try_element_at(F.get(ranks, F.hash(pair).bitwiseAND(F.lit(BUCKETS - 1))), pair)
 
-    def merge(state, found):
-        at = F.array_position(found, F.array_min(found)).cast("int")
-        united = lambda k: F.concat(F.substring(state, F.lit(1), k - 1), F.get(chars, F.get(found, k - 1)), F.substring(state, k + 2, F.lit(LONG_WORD)))
-        return _bind(at, lambda k: F.when(k.isNull(), F.concat(state, F.lit(DONE))).otherwise(united(k)))
+    def united(state, best):  # best: the rank, and below it the place (from 1) of the pair's first piece
+        at = best.bitwiseAND(F.lit(0xFF))
+        return F.concat(F.substring(state, F.lit(1), at - 1), F.get(chars, F.shiftright(best, 8)), F.substring(state, at + 2, F.lit(LONG_WORD)))
 
     def step(state, _):
         n = F.char_length(state)
-        found = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(state, i))
-        return F.when(F.endswith(state, F.lit(DONE)) | (n < 2), state).otherwise(_bind(found, lambda r: merge(state, r)))
+        least = lambda best, i: F.least(best, F.shiftleft(rank(F.substring(state, i, F.lit(2))), 8) + i)
+        best = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(None).cast("int"), least)
+        merged = _bind(best, lambda b: F.when(b.isNull(), F.concat(state, F.lit(DONE))).otherwise(united(state, b)))
+        return F.when(F.endswith(state, F.lit(DONE)) | (n < 2), state).otherwise(merged)
 
     n = F.char_length(word)
     return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), word, step))
