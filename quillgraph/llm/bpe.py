@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 
 import numpy as np
 import pyarrow as pa

@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 FIT_DOCS, FIT_WORDS = 200, 240
 #: Languages at most (the most frequent labels); weights a language; words of a chain.
 MOST_LANGUAGES, WEIGHTS, CHAIN = 64, 1 << 16, 64
-#: Words whose scores a worker keeps.
-MOST_WORDS = 300_000
+#: Words whose scores a worker keeps, from task to task.
+MOST_WORDS = 600_000
 #: Letters of a word that its features look at, from either end.
 LONGEST = 24
 
@@ -162,27 +162,34 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, rounds: int = 12, chain: int
     return model
 
 
+class _Scored(dict):
+    """Numbers words as they are first met and scores each once; ``table[number]`` holds the scores."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self.table = np.zeros((1024, len(model.languages)))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        if number == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[number] = self.model.score(word)
+        return number
+
+
 class Labeller:
     """Applies a model to texts; keeps the scores of words that it has met."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.number: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.languages)))
+        self.words = _Scored(model)
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > MOST_WORDS:
-            self.number.clear()
-        found = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            n = self.number.get(w)
-            if n is None:
-                n = self.number[w] = len(self.number)
-                if n == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[n] = self.model.score(w)
-            found[i] = n
-        return found
+    def _scores(self, words: list[str]) -> np.ndarray:
+        if len(self.words) > MOST_WORDS:
+            self.words = _Scored(self.model)
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        return self.words.table[numbers]
 
     def posteriors(self, words: list[str]) -> np.ndarray:
         """Posterior of each language at each word of a text; ``"\\n"`` ends a chain and has a zero row."""
@@ -193,7 +200,6 @@ class Labeller:
         return found
 
     def _part(self, words: list[str]) -> np.ndarray:
-        numbers = self._numbers(words)
         breaks = np.fromiter((w == "\n" for w in words), bool, len(words))
         places = np.flatnonzero(~breaks)
         found = np.zeros((len(words), len(self.model.languages)))
@@ -205,7 +211,7 @@ class Labeller:
         starts = np.flatnonzero(inline % CHAIN == 0)
         lens = np.diff(np.r_[starts, len(places)])
         order = np.argsort(lens, kind="stable")
-        scores = self.table[numbers[places]]
+        scores = self._scores([w for w in words if w != "\n"])
         for at in range(0, len(order), 4096):
             some = order[at : at + 4096]
             longest = int(lens[some].max())
@@ -244,6 +250,17 @@ class Labeller:
         return found
 
 
+_labellers: dict[int, Labeller] = {}
+
+
+def worker_labeller(model: Model, key: int) -> Labeller:
+    """A worker's labeller for a model: one is kept, as its scores don't depend on the task."""
+    if key not in _labellers:
+        _labellers.clear()
+        _labellers[key] = Labeller(model)
+    return _labellers[key]
+
+
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_docs: int = FIT_DOCS) -> list[tuple[str, str]]:
     """The rows that a model is fitted on: of each language the ``fit_docs`` texts with the smallest hashed ids.
 
@@ -279,8 +296,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     at = names.index(text_col)
     packed = None if model is None else Model(model.languages, model.weights.astype(np.float32), model.moves, model.lexicon)
 
+    key = 0 if packed is None else zlib.crc32(packed.weights.tobytes() + packed.moves.tobytes())
+
     def run(batches):
-        labeller = Labeller(packed) if packed else None
+        labeller = worker_labeller(packed, key) if packed else None
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)

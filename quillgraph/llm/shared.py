@@ -12,9 +12,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that ``bytes.split`` and the engine's word pattern ``[^\\x20\\x09-\\x0D]+`` treat as separators.
-WORD_GAP = "[\\x20\\x09-\\x0D]+"
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine), a folder of our own."""

@@ -146,7 +146,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     rows = rows.join(shared, "key").withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int"))
     chunk = F.pmod(F.xxhash64("fp", "key"), F.col("g")).cast("int")
     rows = rows.withColumn("c", chunk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    blocks = rows.select("key", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), F.when(F.col("c") == F.col("o"), -1).otherwise((F.col("c") > F.col("o")).cast("int")).alias("mark"), "c", "fp", "p0", "p1")
+    blocks = rows.select("key", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "c", "fp", "p0", "p1")
     dealt = blocks.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
 
     def solve(columns):
