@@ -4,6 +4,8 @@ A text's words are cut into overlapping windows as long as the templates' (long
 ``WINDOW`` words at every place, so that some window of theirs lines up with any window of a text). The windows'
 five-word shingles are signed with MinHash; a window that shares a band with a template's retrieves it. ``BANDS`` bands
 of ``ROWS`` values meet with probability 1 - (1 - 0.8 ** ROWS) ** BANDS > 0.9999 at similarity 0.8, and 0.997 at 0.66.
+A text shorter than a window is signed as one window of its own length. A template shorter than a shingle is one
+shingle of its own length, looked up at every place of a text.
 Around each retrieved window the text's own words decide: the share of the template's distinct shingles that one span
 of the text contains. Templates are few and short, and go to the tasks with the function.
 """
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE, CONTAINMENT = 5, 0.8
+#: Words of a template at least: one or two words mark nothing.
+LEAST_WORDS = 3
 ROWS, BANDS = 2, 10
 #: Words of a window over long templates, and the steps between a text's windows as a share of their shingles.
 WINDOW, STEPS = 36, 4
@@ -66,6 +70,8 @@ in the documentation and/or other materials provided with the distribution.""",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
 }
+#: Notices shorter than a shingle: found word for word.
+SHORT_TEMPLATES = {"All-rights-reserved": "All rights reserved"}
 
 _draw = np.random.default_rng(10)
 FACTORS = _draw.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
@@ -83,11 +89,11 @@ class _Hashes(dict):
         return found
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """32-bit hashes of each SHINGLE words in a row; the last few places are of no use."""
-    padded = np.r_[words, np.zeros(SHINGLE - 1, np.uint64)]
+def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """32-bit hashes of each ``width`` words in a row; the last few places are of no use."""
+    padded = np.r_[words, np.zeros(width - 1, np.uint64)]
     rolled = np.zeros(len(words), np.uint64)
-    for k in range(SHINGLE):
+    for k in range(width):
         rolled = rolled * BASE + padded[k : k + len(words)]
     rolled ^= rolled >> np.uint64(31)
     return ((rolled * MIX) >> np.uint64(32)).astype(np.uint32)
@@ -109,27 +115,50 @@ def window_keys(hashes: np.ndarray, starts: np.ndarray, size: int) -> list[np.nd
     return keys
 
 
+def text_keys(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Band keys of windows of ``counts`` shingles each (one at least) at ``starts``, as ``window_keys`` gives them."""
+    cuts = np.r_[0, np.cumsum(counts)[:-1]]
+    taken = hashes[np.arange(counts.sum()) + np.repeat(starts - cuts, counts)]
+    keys, key = [], None
+    for row in range(ROWS * BANDS):
+        found = np.minimum.reduceat(taken * FACTORS[row] + OFFSETS[row], cuts)
+        key = found.astype(np.uint64) if row % ROWS == 0 else key * BASE + found
+        if row % ROWS == ROWS - 1:
+            keys.append(key ^ (key >> np.uint64(32)))
+    return keys
+
+
 @dataclass
 class Template:
     name: str
     words: list[str]
     shingles: set[tuple[str, ...]]
+    #: Words of a shingle.
+    width: int
 
 
 class Index:
-    """Templates by window size (in shingles): sorted band keys, and for each the templates that have it."""
+    """Templates by window size (in shingles): sorted band keys, and for each the templates that have it.
+
+    Templates shorter than a shingle by their number of words: hashes, and for each the templates that have it.
+    """
 
     def __init__(self, templates: dict[str, str]):
         self.hashes = _Hashes()
         self.templates = []
         by_size: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, dict[int, set[int]]] = {}
         for name, text in templates.items():
             words = words_of(text)
-            if len(words) < SHINGLE:
-                raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-            shingles = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+            if len(words) < LEAST_WORDS:
+                raise ValueError(f"template {name} has fewer than {LEAST_WORDS} words")
+            width = min(len(words), SHINGLE)
+            shingles = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
             number = len(self.templates)
-            self.templates.append(Template(name, words, shingles))
+            self.templates.append(Template(name, words, shingles, width))
+            if width < SHINGLE:
+                short.setdefault(width, {}).setdefault(int(shingle_hashes(self.numbers(words), width)[0]), set()).add(number)
+                continue
             size = min(len(words), WINDOW) - SHINGLE + 1
             by_size.setdefault(size, []).extend((number, at) for at in range(len(words) - SHINGLE + 2 - size))
         if sum(len(t.words) for t in self.templates) > MOST_TEMPLATE_WORDS:
@@ -144,6 +173,8 @@ class Index:
                     for key in keys.tolist():
                         owners[band].setdefault(key, set()).add(number)
             self.bands[size] = [(self._marks(o), o) for o in owners]
+        self.short = {width: (self._marks(o), o) for width, o in short.items()}
+        self.least_words = min((t.width for t in self.templates), default=SHINGLE)
 
     @staticmethod
     def _marks(owners: dict[int, set[int]]) -> np.ndarray:
@@ -158,23 +189,41 @@ class Index:
         return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
 
     def retrieve(self, numbers: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """``(template, word place)`` of the windows that share a band with a template; ``ends``: where texts end."""
+        """``(template, word place)`` of the windows that share a band with a template; ``ends``: where texts end.
+
+        Places of short templates may reach beyond their text: ``verify`` decides.
+        """
         hashes = shingle_hashes(numbers)
         found: set[tuple[int, int]] = set()
+
+        def look_up(keys: np.ndarray, starts: np.ndarray, marks: np.ndarray, owners: dict[int, set[int]]) -> None:
+            for k in np.flatnonzero(marks[(keys & keys.dtype.type(0xFFFF)).astype(np.int64)]).tolist():
+                for number in owners.get(int(keys[k]), ()):
+                    found.add((number, int(starts[k])))
+
+        for width, (marks, owners) in self.short.items():
+            look_up(shingle_hashes(numbers, width), np.arange(len(numbers)), marks, owners)
+        begins = np.r_[0, ends[:-1]]
+        counts = ends - begins - SHINGLE + 1
+        whole = (counts > 0) & (counts < max(self.bands, default=0))
+        begins, counts = begins[whole], counts[whole]
+        signed = text_keys(hashes, begins, counts) if len(begins) else []
+        for size, bands in self.bands.items() if signed else ():
+            less = counts < size
+            for keys, (marks, owners) in zip(signed, bands):
+                look_up(keys[less], begins[less], marks, owners)
         for size, bands in self.bands.items():
             step = max(1, size // STEPS)
             starts = self._starts(ends, size, step)
             if not len(starts):
                 continue
             for keys, (marks, owners) in zip(window_keys(hashes, starts, size), bands):
-                for k in np.flatnonzero(marks[(keys & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
-                    for number in owners.get(int(keys[k]), ()):
-                        found.add((number, int(starts[k])))
+                look_up(keys, starts, marks, owners)
         return found
 
     @staticmethod
     def _starts(ends: np.ndarray, size: int, step: int) -> np.ndarray:
-        """Window starts: each step words of every text, and a last window that ends with the text."""
+        """Window starts: each step words of every text as long as a window, and a last window that ends with the text."""
         begins = np.r_[0, ends[:-1]]
         last = ends - SHINGLE + 1 - size  # last start of each text
         usable = last >= begins
@@ -193,8 +242,8 @@ def verify(words: list[str], template: Template, around: list[int], least: float
     reach = max(int(len(template.words) * STRETCH) + 1, len(template.words))
     near: dict[int, tuple[str, ...]] = {}
     for place in around:
-        for i in range(max(0, place - reach), min(len(words) - SHINGLE + 1, place + WINDOW + reach)):
-            if i not in near and (key := tuple(words[i : i + SHINGLE])) in template.shingles:
+        for i in range(max(0, place - reach), min(len(words) - template.width + 1, place + WINDOW + reach)):
+            if i not in near and (key := tuple(words[i : i + template.width])) in template.shingles:
                 near[i] = key
     places = sorted(near)
     found, right, start = [], 0, 0
@@ -205,13 +254,13 @@ def verify(words: list[str], template: Template, around: list[int], least: float
             if best[0] >= least and i >= best[2] + len(template.words):
                 break
             inside[near[i]] = inside.get(near[i], 0) + 1
-            while i + SHINGLE - places[left] > reach or inside[near[places[left]]] > 1:
+            while i + template.width - places[left] > reach or inside[near[places[left]]] > 1:
                 inside[near[places[left]]] -= 1
                 if not inside[near[places[left]]]:
                     del inside[near[places[left]]]
                 left += 1
             if (share := len(inside) / len(template.shingles)) > best[0]:
-                best = (share, places[left], i + SHINGLE)
+                best = (share, places[left], i + template.width)
         if best[0] < least:
             break
         found.append(best)
@@ -240,7 +289,7 @@ def scan_texts(texts: list[str | None], index: Index, least: float = CONTAINMENT
                 found[k].append((index.templates[number].name, share, at[a][0], at[b - 1][1]))
 
     for k, text in enumerate(texts):
-        if text and len(words := words_of(text)) >= SHINGLE:
+        if text and len(words := words_of(text)) >= index.least_words:
             held.append((k, words))
             size += len(words)
         if held and (size >= STREAM or k == len(texts) - 1):
@@ -261,9 +310,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """One row per match: ``(id, license, containment, start, stop)``, the span in code points of the text.
 
     Texts without a match, null and empty ones give no row; rows with null or repeated ids are scanned like any
-    other; other columns are ignored. Texts are scanned whole. An empty table gives no rows.
+    other; other columns are ignored. Texts are scanned whole. An empty table gives no rows. Without ``templates``,
+    ``TEMPLATES`` and ``SHORT_TEMPLATES`` are looked for. Templates of fewer than ``LEAST_WORDS`` words are an error.
     """
-    chosen = dict(TEMPLATES if templates is None else templates)
+    chosen = dict(TEMPLATES | SHORT_TEMPLATES if templates is None else templates)
     Index(chosen)  # refuses unusable templates here, not in a task
 
     def run(batches):

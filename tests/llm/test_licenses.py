@@ -67,3 +67,28 @@ def test_nulls_repeats_templates_and_empty_tables(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(docs, {"short": "too short"})
+
+
+def test_short_texts_and_short_templates():
+    notice = "This work is licensed under a Creative Commons Attribution 4.0 International License"
+    index = licenses.Index({"by": notice, "arr": "All rights reserved", "long": " ".join(f"w{k}" for k in range(40))})
+    texts = [
+        notice.removeprefix("This "),  # 8 of the 9 shingles, and no window
+        "This " + notice.removeprefix("This work is "),
+        "Some text.\nALL RIGHTS RESERVED. all rights reserved",
+        "all rights",
+        "reserved all rights are reserved",
+        "all rights reserved",
+        " ".join(f"w{k}" for k in range(3, 36)),  # 29 of 36 shingles in 33 words
+        " ".join(f"w{k}" for k in range(3, 35)),
+    ]
+    got = [[(name, start, stop) for name, _, start, stop in many] for many in licenses.scan_texts(texts, index)]
+    assert got == [[("by", 0, len(texts[0]))], [], [("arr", 11, 30), ("arr", 32, 51)], [], [], [("arr", 0, 19)], [("long", 0, len(texts[6]))], []]
+
+
+def test_query_finds_every_notice_planted_word_for_word(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id for r in rows if "all rights reserved" in " ".join(licenses.words_of(r.text or ""))}
+    got = {r.doc_id for r in op10_license_scan(spark, sf).where("license = 'All-rights-reserved'").collect()}
+    assert want and got == want
