@@ -259,17 +259,20 @@ class Pieces:
         return self.flat[spread(self.starts[ids], self.starts[ids + 1])].tobytes() if len(ids) else b""
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
-    """``(id, ids array<int>)`` per row, and with ``with_bytes`` the ids decoded again, ``bytes``.
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, ids array<int>)`` per row, with ``with_bytes`` the ids decoded again, ``bytes``, and the columns ``keep``.
 
     Null and empty texts get no ids. Rows with a null or repeated id are encoded like any other; other columns of
     ``docs`` are ignored. Texts of any length are encoded whole. An empty table gives no rows.
     """
     ranks = read_ranks(rank_file)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    numbered = rows.mapInArrow(_number_words(pattern, ranks), "id long, place array<int>, word array<string>, long array<struct<at:int,bytes:binary>>, fresh boolean")
+    one = F.col(id_col).cast("long").alias("id")
+    rows = docs.select((F.struct(one, *keep) if keep else one).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    numbered = rows.mapInArrow(_number_words(pattern, ranks), f"id {kind}, place array<int>, word array<string>, long array<struct<at:int,bytes:binary>>, fresh boolean")
     folded = numbered.select("id", "place", fold_merges(F.col("word"), ranks).alias("word"), "long", "fresh")
-    return folded.mapInArrow(_join_ids(ranks, with_bytes), "id long, ids array<int>" + ", bytes binary" * with_bytes)
+    found = folded.mapInArrow(_join_ids(ranks, with_bytes), f"id {kind}, ids array<int>" + ", bytes binary" * with_bytes)
+    return found.select("id.id", *found.columns[1:], *[f"id.{c}" for c in keep]) if keep else found
 
 
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:

@@ -119,7 +119,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tar
     return found.select(*[docs[c] for c in docs.columns if c not in new], *new)
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
-    """The mixture written out: rows range-partitioned and sorted by slot, the scheduling columns dropped."""
+def in_order(mixed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The mixture written out: rows range-partitioned and sorted by slot, the scheduling columns but ``keep`` dropped.
+
+    A table that is read again has the order of its files at most: what must be in order later needs slot and offset.
+    """
     ordered = mixed.repartitionByRange("mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset")
-    return ordered.drop("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset")
+    return ordered.drop(*[c for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset") if c not in keep])

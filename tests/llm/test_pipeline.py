@@ -50,6 +50,25 @@ def test_each_stage_against_its_definition(spark):
         assert list(r.ids) == library.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids)
 
 
+def test_run_returns_places_that_outlive_rereading(spark, tmp_path, monkeypatch):
+    """Several files of different sizes: read again, they are not in the order of the mixture."""
+    docs = spark.createDataFrame([(k, f"text {k} " * (1 + k % 9), "en", "abc"[k % 7 % 3], 9) for k in range(700)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # each file is a task
+    try:
+        got = corpus_pipeline.run(spark, str(tmp_path))
+        assert len(got.inputFiles()) > 1
+        rows = got.orderBy("mix_slot", "mix_offset").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("mix_slot", "mix_offset").collect()]
+    assert [r.doc_id for r in rows] == want and len({(r.mix_slot, r.mix_offset) for r in rows}) == 700
+    assert all(r.n_tokens == len(r.ids) > 0 for r in rows)
+
+
 def test_an_empty_table_passes_all_stages(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for number, (_, f) in enumerate(corpus_pipeline.STAGES):
