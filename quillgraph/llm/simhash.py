@@ -57,15 +57,17 @@ def _majority(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(id, fp long)`` per row; the long holds the fingerprint's bits (so it may be negative)."""
+    """``(id, fp long, text_key long)`` per row; ``fp`` holds the fingerprint's bits (so it may be negative), ``text_key``
+    is Spark's ``xxhash64`` of the text.
+    """
 
     def run(batches):
         for batch in batches:
             found = [simhash(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), batch.column(2)], ["id", "fp", "text_key"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "id long, fp long")
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    return kept.mapInArrow(run, "id long, fp long, text_key long")
 
 
 def _segment_keys(max_bits: int):
@@ -176,6 +178,16 @@ def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     return dealt.select("key", "ci", "cj", "c", "fp", "p0", "p1").mapInArrow(run, "src long, dst long")
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of ``fingerprints`` with ``root``, the class's smallest fingerprint, and ``component_id``, its smallest id."""
+    marked = Table(fingerprints(docs, id_col, text_col, shingle), "fingerprints").df
+    distinct = marked.groupBy("fp").agg(F.min("id").alias("low"))
+    roots = connected_components(near_links(distinct.select("fp"), max_bits))
+    found = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = found.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marked.join(found.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per input row: ``doc_id``, ``fp`` (long) and ``component_id``, the smallest id reachable by links.
 
@@ -183,10 +195,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are hashed whole. Repeated ids and equal texts share a class. A null id is returned as it is; a class of only
     null ids has a null ``component_id``. Other columns of ``docs`` are ignored. An empty table gives no rows.
     """
-    marked = Table(fingerprints(docs, id_col, text_col, shingle), "fingerprints").df
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = connected_components(near_links(distinct.select("fp"), max_bits))
-    classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lowest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return classes(docs, id_col, text_col, shingle, max_bits).select(F.col("id").alias("doc_id"), "fp", "component_id")

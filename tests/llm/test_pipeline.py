@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -50,6 +52,16 @@ def test_each_stage_against_its_definition(spark):
         assert list(r.ids) == library.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids)
 
 
+def test_every_class_keeps_one_document(spark):
+    """Several null ids, and ids that stand on two different texts."""
+    rng = random.Random(1)
+    texts = sorted(" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(8))
+    near = [(None, 0), (None, 1), (None, 1), (None, 2), (5, 4), (9, 4), (5, 3), (3, 3), (7, 5), (7, 6), (None, 6), (None, 7), (8, 7)]
+    docs = spark.createDataFrame([(i, texts[t], None, "ab"[t % 2], 9) for i, t in near], SCHEMA)
+    got = sorted((str(r.doc_id), texts.index(r.text)) for r in stage("SimHash near-dedup")(spark, docs, "").collect())
+    assert got == [("3", 3), ("5", 4), ("7", 5), ("7", 6), ("8", 7), ("None", 0), ("None", 1), ("None", 2)]
+
+
 def test_run_returns_places_that_outlive_rereading(spark, tmp_path, monkeypatch):
     """Several files of different sizes: read again, they are not in the order of the mixture."""
     docs = spark.createDataFrame([(k, f"text {k} " * (1 + k % 9), "en", "abc"[k % 7 % 3], 9) for k in range(700)], SCHEMA)
