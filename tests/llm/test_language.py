@@ -41,14 +41,58 @@ def model():
 def test_labels_switch_within_a_text(model):
     found, rows = model
     a, b = (next(t for t, lang in rows if lang == x).split()[:12] for x in ("aa", "bb"))
-    posterior = language.Labeller(found).posteriors(a + b + a)
+    posterior, text = language.Labeller(found).posteriors([" ".join(a + b + a), "-", "kar"])
+    assert text.tolist() == [0] * 36 + [2]
+    posterior = posterior[:36]
     assert [found.languages[k] for k in posterior.argmax(axis=1)] == ["aa"] * 12 + ["bb"] * 12 + ["aa"] * 12
     assert np.allclose(posterior.sum(axis=1), 1)
 
 
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(5)
+    chains = language.Chains([(["kar", "lo", "schung", "kar"], [0, 0, 1, 0]), (["x"], [2]), (["lo", "mi"], [2, 1])], {"kar".encode("utf-32-le"): 7})
+    weights, moves = rng.normal(size=(language.WEIGHTS, 3)), rng.normal(size=(3, 3))
+    value, weight, move = chains.gradient(range(3), weights, moves)
+    assert value < 0
+    for array, got in ((weights, weight), (moves, move)):
+        places = np.argwhere(np.abs(got) > 1e-3)[:: max(1, len(np.argwhere(np.abs(got) > 1e-3)) // 12)]
+        assert len(places) >= 9
+        for i, k in places.tolist():
+            array[i, k] += 1e-5
+            up = chains.gradient(range(3), weights, moves)[0]
+            array[i, k] -= 2e-5
+            down = chains.gradient(range(3), weights, moves)[0]
+            array[i, k] += 1e-5
+            assert np.isclose((up - down) / 2e-5, got[i, k], rtol=1e-4, atol=1e-6)
+
+
+def test_features_of_words_scored_together_are_those_of_each_alone(model):
+    found, _ = model
+    words = ["a", "kar", "lomitukar", "schungzu", "ß" * 70, "𝒜𝒷"]
+    chars = lambda ws: np.frombuffer("".join(ws).encode("utf-32-le"), np.uint32)
+    key = lambda w: w.encode("utf-32-le")
+    together = found.scores(chars(words), np.r_[0, np.cumsum([len(w) for w in words])], list(map(key, words)))
+    for w, row in zip(words, together):
+        assert np.allclose(found.scores(chars([w]), np.array([0, len(w)]), [key(w)])[0], row)
+    # A run of letters is looked at whole: its middle counts.
+    long = ["kar" * 20 + x + "kar" * 20 for x in ("", "schenung" * 9)]
+    a, b = (found.scores(chars([w]), np.array([0, len(w)]), [key(w)])[0] for w in long)
+    assert b[1] > a[1]
+
+
+def test_many_labels_and_long_texts():
+    rng = random.Random(8)
+    rows = [(" ".join("".join(chr(0x4E00 + 20 * k + rng.randrange(20)) for _ in range(3)) for _ in range(30)), f"l{k:03}") for k in range(70) for _ in range(3)]
+    found = language.fit(rows, rounds=3)
+    assert len(found.languages) == 70
+    assert sum(language.Labeller(found).texts([t])[0][0] == lang for t, lang in rows[::5]) >= 40
+    text = "kar lo " * 200_000 + "x" * (language.STREAM + 5)
+    assert "".join(language.parts_of(text)) == text and max(map(len, language.parts_of(text))) <= language.STREAM
+
+
 def test_texts_do_not_hang_on_their_batch(model):
     found, rows = model
-    texts = [None, "", "123 !?", "kar", "schung " * 3000, "x" * 500, "\n\nkar lo\nmi\n", *(t for t, _ in rows[::7])]
+    texts = [None, "", "123 !?½ ² Ⅷ _", "kar", "schung " * 3000, "x" * 500, "\n\nkar lo\nmi\n", *(t for t, _ in rows[::7])]
     together = language.Labeller(found).texts(texts)
     assert together[:3] == [("und", 0.0)] * 3
     for text, (lang, score) in zip(texts, together):
