@@ -53,3 +53,25 @@ def split_path(path: str) -> tuple[str | None, str]:
     if len(parts) == 4 and parts[0] == "subject" and parts[2] == "data":
         return parts[1], parts[3]
     raise ValueError(f"no path {path}")
+
+
+def apply_effects(state: dict[str, object], effects: list[dict | str]) -> dict[str, object]:
+    """A planned action's effects on what is known of a subject, by path: ``present`` makes it true, ``absent`` takes it
+    away, ``equals`` sets it, ``allOf`` does each; anything else is no effect. The given state stays as it is."""
+    found = dict(state)
+    for effect in effects:
+        body = json.loads(effect) if isinstance(effect, str) else effect
+        (op, value), = body.items()
+        if op in ("present", "absent"):
+            split_path(value)
+            found.pop(value, None)
+            if op == "present":
+                found[value] = True
+        elif op == "equals":
+            split_path(value["path"])
+            found[value["path"]] = value["value"]
+        elif op == "allOf":
+            found = apply_effects(found, value)
+        else:
+            raise ValueError(f"{op} is no effect")
+    return found

@@ -47,6 +47,27 @@ def compare(a: Column, op: str, b: Column, a_type: str = "double", b_type: str =
     return F.coalesce(found, F.lit(False))
 
 
+def both(*values: Column) -> Column:
+    """AND of any number of operands, each by its truthiness; never null."""
+    total = F.lit(True)
+    for v in values:
+        total = total & truthy(v)
+    return total
+
+
+def either(*values: Column) -> Column:
+    """OR of any number of operands, each by its truthiness; never null."""
+    total = F.lit(False)
+    for v in values:
+        total = total | truthy(v)
+    return total
+
+
+def joined(*lists: Column) -> Column:
+    """``+`` of lists: their entries one after the other; a null list counts as an empty one."""
+    return F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))
+
+
 def negate(value: Column, dtype: str = "boolean") -> Column:
     """NOT: true for null."""
     return ~truthy(value, dtype)

@@ -16,7 +16,7 @@ def gaps(rows: DataFrame, entity: str = "entity_key", prefix: str = "missing_")
 
 def actions(found: DataFrame, playbook: DataFrame) -> DataFrame:
     """Gaps with what the playbook (gap, action, ...) says about them; a gap that it doesn't know has a null action."""
-    return found.join(F.broadcast(playbook), "gap", "left")
+    return found.join(playbook, "gap", "left")
 
 
 def rank_actions(attempts: DataFrame, window: int, by: list[str]) -> DataFrame:
@@ -44,27 +44,44 @@ def trajectory(samples: DataFrame, target: str, order: str, value: str, window:
 
 
 def oscillations(writes: DataFrame, path: str, order: str, value: str, run: int = 4) -> DataFrame:
-    """``(path, order)`` where the last ``run`` values of a path alternate between two; a hit starts a new count.
+    """``(path, order)`` where the last ``run`` values of a path alternate between two. A hit empties what is remembered,
+    so the next one needs ``run`` values of its own.
 
-    A value alternates when it differs from the one before and equals the one before that. Hits within a stretch of
-    alternation come each ``run`` values, which is what a count that is reset by each hit gives.
+    Where the last values alternate is told by windows. Of these places a hit is taken if it lies ``run`` or more after
+    the hit before: a fold over the stretches of such places (two numbers each), not over the values.
     """
     w = Window.partitionBy(path).orderBy(order)
-    one, two = F.lag(value, 1).over(w), F.lag(value, 2).over(w)
-    # A stretch's first value is one that doesn't continue it; its second only has to differ.
-    rows = writes.withColumn("_n", F.row_number().over(w)).withColumn("_goes", F.coalesce((F.col(value) != one) & F.col(value).eqNullSafe(two), F.lit(False))).withColumn("_differs", F.coalesce(F.col(value) != one, F.lit(False)))
-    rows = rows.withColumn("_start", F.when(~F.col("_goes"), F.col("_n")))
-    rows = rows.withColumn("_from", F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # The value before a stretch belongs to it if the stretch begins by differing.
-    first = F.max(F.when(F.col("_n") == F.col("_from"), F.col("_differs").cast("int"))).over(Window.partitionBy(path, "_from"))
-    length = F.col("_n") - F.col("_from") + 1 + first
-    return rows.withColumn("_length", length).where((F.col("_length") >= run) & (F.col("_length") % run == 0)).select(path, order)
-
-
-def admit(requests: DataFrame, tokens: DataFrame, by: str = "pool") -> DataFrame:
-    """Requests admitted by a pool's whole tokens: highest priority first, then who has waited longest, then id."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("priority"), "since", "request_id"))
-    return requests.withColumn("_place", place).join(F.broadcast(tokens), by).where(F.col("_place") <= F.floor("tokens")).drop("_place", "tokens")
+    back = lambda k: F.lag(F.struct(F.col(value)), k).over(w)  # noqa: E731  a struct: a null value is there, a missing row isn't
+    here = F.struct(F.col(value))
+    alternates = back(run - 1).isNotNull() & ~here.eqNullSafe(back(1)) & here.eqNullSafe(back(2))
+    for k in range(1, run - 2):
+        alternates = alternates & back(k).eqNullSafe(back(k + 2))
+    rows = writes.withColumn("_n", F.row_number().over(w)).withColumn("_hit", F.coalesce(alternates, F.lit(False)))
+    places = rows.where("_hit").select(path, order, "_n").withColumn("_at", F.col("_n") - F.row_number().over(w))
+    stretches = places.groupBy(path, "_at").agg(F.min("_n").alias("first"), F.max("_n").alias("last"))
+    per = stretches.groupBy(path).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_s"))
+
+    def step(state, s):
+        first = F.greatest(s["first"], state["until"] + run)
+        more = F.when(first <= s["last"], F.sequence(first, s["last"], F.lit(run))).otherwise(F.array().cast("array<int>"))
+        return F.struct(F.coalesce(F.try_element_at(more, F.lit(-1)), state["until"]).alias("until"), F.concat(state["hits"], more).alias("hits"))
+
+    start = F.struct(F.lit(-run).alias("until"), F.array().cast("array<int>").alias("hits"))
+    hits = per.select(F.col(path).alias("_path"), F.explode(F.aggregate("_s", start, step)["hits"]).alias("_hit_n"))
+    return places.join(hits, F.col(path).eqNullSafe(F.col("_path")) & (F.col("_n") == F.col("_hit_n"))).select(path, order)
+
+
+def admit(requests: DataFrame, tokens: DataFrame, by: str = "pool", parts: int = 64) -> DataFrame:
+    """Requests admitted by a pool's whole tokens: highest priority first, then who has waited longest, then id.
+
+    A pool's requests are ranked in ``parts`` first; what isn't among a part's best can't be among the pool's, so only as
+    many rows as there are tokens in each part meet in one place.
+    """
+    order = [F.desc("priority"), "since", "request_id"]
+    part = F.pmod(F.xxhash64("request_id"), F.lit(parts))
+    rows = requests.join(tokens.select(by, F.floor("tokens").alias("_most")), by).withColumn("_part", part)
+    near = rows.withColumn("_place", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))).where("_place <= _most")
+    return near.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_place <= _most").select(*requests.columns)
 
 
 def refill(level: DataFrame, now: float, rate: float, capacity: float) -> DataFrame:
@@ -87,7 +104,7 @@ def retry_budget(found: DataFrame, dispatched: DataFrame, entity: str = "entity_
 def next_step(instances: DataFrame, steps: DataFrame, guards: DataFrame) -> DataFrame:
     """For each procedure instance (instance_id, pattern, cursor) the first step after its cursor whose guard holds;
     steps: (pattern, position, step), guards: (instance_id, position, holds), an absent guard holds. Done: null."""
-    ahead = instances.join(F.broadcast(steps), "pattern").where(F.col("position") > F.col("cursor")).join(guards, ["instance_id", "position"], "left").where(F.coalesce("holds", F.lit(True)))
+    ahead = instances.join(steps, "pattern").where(F.col("position") > F.col("cursor")).join(guards, ["instance_id", "position"], "left").where(F.coalesce("holds", F.lit(True)))
     chosen = ahead.groupBy("instance_id").agg(F.min(F.struct("position", "step")).alias("next"))
     return instances.join(chosen, "instance_id", "left").select("instance_id", "pattern", "cursor", F.col("next.position").alias("position"), F.col("next.step").alias("step"))
 
@@ -101,3 +118,33 @@ def nearest_rank(rows: DataFrame, by: list[str], value: str, quantiles: dict[str
     ranked = rows.withColumn("_place", place).withColumn("_size", size)
     picks = [F.max(F.when(F.col("_place") == F.ceil(F.col("_size") * q), F.col(value))).alias(name) for name, q in quantiles.items()]
     return ranked.groupBy(*by).agg(*picks, F.avg(value).alias("mean"))
+
+
+def fill_template(rows: DataFrame, params: dict[str, str], required: list[str] = []) -> DataFrame:
+    """Rows with each parameter as a column: ``row.<column>`` takes that column with its type, ``row.<column>.<aspect>`` the
+    key in that column with the aspect behind it, anything else is a text. ``data_error`` names the first required
+    parameter whose column is null (null: none); a column that the rows don't have is refused."""
+    out, errors = [], []
+    for name, template in params.items():
+        if not template:
+            raise ValueError(f"parameter {name} is empty")
+        if not template.startswith("row."):
+            value = F.lit(template)
+        elif (column := template[4:]) in rows.columns:
+            value = F.col(column)
+        else:
+            base, _, aspect = column.partition(".")
+            if base not in rows.columns or not aspect:
+                raise ValueError(f"parameter {name}: rows have no column {column}")
+            value = F.when(F.col(base) != "", F.concat(F.col(base), F.lit("." + aspect)))
+        out.append(value.alias(name))
+        if name in required:
+            errors.append(F.when(value.isNull() | (value.cast("string") == ""), name))
+    return rows.select("*", *out, (F.coalesce(*errors) if errors else F.lit(None).cast("string")).alias("data_error"))
+
+
+def correlate(completions: DataFrame, waiting: DataFrame) -> DataFrame:
+    """``(token, instance_id, seq, outcome)``: each waiting token's (token, instance_id) first completion (token, seq,
+    outcome) by sequence; ``orphan`` completions, of tokens that no one waits for, have a null instance."""
+    first = completions.groupBy("token").agg(F.min(F.struct("seq", "outcome")).alias("c"))
+    return first.join(waiting.select("token", "instance_id"), "token", "left").select("token", "instance_id", "c.seq", "c.outcome")

@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.graph import Graph, vertex_key
-from ..sources.tables import written
+from ..sources.graph import Graph, link_key, vertex_key
+from ..sources.tables import Written
 
+#: The label of a variable that may be of any type.
+ANY = "*"
 #: Hops of an unbounded variable-length step at most.
 MOST_HOPS = 10
 #: Rows that a product of unrelated patterns may have before it is refused.
@@ -39,8 +41,12 @@ class Match:
             raise PatternError(f"{var} is not bound")
         if prop == "key":
             found = self.df[f"{var}__id"]
+            if self.labels[var] == ANY:
+                return F.when(found.isNotNull(), F.concat(F.lit("vtx."), self.df[f"{var}__label"], F.lit("."), found))
             return F.when(found.isNotNull(), vertex_key(self.labels[var], found))
         column = f"{var}__{prop or 'id'}"
+        if self.labels[var] == ANY and prop == "label":
+            return self.df[f"{var}__label"]
         # A property that no vertex of the type has is null, as for any missing field.
         return self.df[column] if column in self.df.columns else F.lit(None)
 
@@ -55,6 +61,32 @@ class Match:
             rows = rows.where(F.coalesce(where(rows), F.lit(False)))
         return rows.select(F.col(kind.id_col).alias(f"{var}__id"), *[F.col(c).alias(f"{var}__{c}") for c in rows.columns if c != "id"])
 
+    def with_columns(self, **columns: Callable[[Match], Column]) -> Match:
+        """Computed columns beside the variables; ``m.df.<name>`` refers to them."""
+        return self._with(self.df.select("*", *[f(self).alias(name) for name, f in columns.items()]))
+
+    def joined(self, rows: DataFrame, on: str, how: str = "left") -> Match:
+        """Rows of another plan, joined by a variable's ``<var>__<property>`` column that they have too."""
+        return self._with(self.df.join(rows, on, how))
+
+    def again(self, var: str, label: str, where: Callable[[DataFrame], Column] | None = None, **props) -> Match:
+        """A pattern that begins with a variable that is bound already: rows are filtered by it, nothing is bound anew."""
+        if self.labels.get(var) != label:
+            raise PatternError(f"{var} is no {label}")
+        ids = self._vertices(var, label, where, props).select(f"{var}__id")
+        return self._with(self.df.join(ids, f"{var}__id", "left_semi"))
+
+    def link_type(self, link: str) -> Column:
+        """``type(r)``: the name of a bound relationship; null where an optional one is not there."""
+        if f"{link}__link" not in self.df.columns:
+            raise PatternError(f"{link} is no relationship")
+        return self.df[f"{link}__link"]["name"]
+
+    def link_key(self, link: str) -> Column:
+        """``r.key``."""
+        self.link_type(link)
+        return self.df[f"{link}__link"]["key"]
+
     def node(self, var: str, label: str, where=None, **props) -> Match:
         """``(var:label {props})`` as a pattern of its own; beside other patterns it is a bounded product."""
         if var in self.labels:
@@ -108,6 +140,31 @@ class Match:
             pairs = pairs.join(self._vertices(end, there, where, props), f"{end}__id")
         return self._with(self.df.join(pairs, f"{start}__id", "left" if optional else "inner"), **{end: there})
 
+    def hop_any(self, start: str, end: str, names: list[str], optional: bool = False, link: str | None = None) -> Match:
+        """``(start)-[]-(end)`` over any of the links ``names`` (all that touch the start's type), in either direction.
+
+        The end may be of several types: it has a key, an id (as text) and a ``label``, no properties. Parallel links
+        collapse unless the relationship is named.
+        """
+        if end in self.labels:
+            raise PatternError(f"{end} is bound already")
+        here, rows = self.labels[start], None
+        for name in names:
+            kind = self.graph.links[name]
+            for way in ("out", "in"):
+                if (kind.src_label if way == "out" else kind.dst_label) != here:
+                    continue
+                there = kind.dst_label if way == "out" else kind.src_label
+                target = self.graph.vertices[there]
+                live = target.live().select(F.col(target.id_col).alias("there"))
+                pairs = self._pairs(start, name, way, payload=False).join(live, "there", "left_semi")
+                one = pairs.select(F.col("here").alias(f"{start}__id"), F.col("there").cast("string").alias(f"{end}__id"), F.lit(there).alias(f"{end}__label"), *([F.struct(F.lit(name).alias("name"), link_key(kind, *((F.col("here"), F.col("there")) if way == "out" else (F.col("there"), F.col("here")))).alias("key")).alias(f"{link}__link")] if link else []))
+                rows = one if rows is None else rows.unionByName(one)
+        if rows is None:
+            raise PatternError(f"no link of {names} touches {here}")
+        rows = rows.distinct() if link is None else rows
+        return self._with(self.df.join(rows, f"{start}__id", "left" if optional else "inner"), **{end: ANY})
+
     def reach(self, start: str, name: str, end: str, least: int = 0, most: int = MOST_HOPS, direction: str = "out", where=None, **props) -> Match:
         """``(start)-[:name*least..most]->(end)``: every vertex that some path without a repeated vertex reaches, once.
 
@@ -121,25 +178,32 @@ class Match:
             raise PatternError(f"between 0 and {MOST_HOPS} hops")
         kind = self.graph.vertices[here]
         live = kind.live().select(F.col(kind.id_col).alias("there"))
-        pairs = written(self._pairs(start, name, direction).join(live, "there", "left_semi"), "pairs")
+        pairs = Written(self._pairs(start, name, direction).join(live, "there", "left_semi"), "pairs")
         starts = self.df.select(F.col(f"{start}__id").alias("start")).where("start IS NOT NULL").distinct()
-        level = written(starts.select("start", F.col("start").alias("at"), F.array("start").alias("path")), "level")
-        levels = [level]
+        level = Written(starts.select("start", F.col("start").alias("at"), F.array("start").alias("path"), F.lit(0).alias("depth")), "level")
+        levels, seen = [level], level
         for depth in range(1, most + 1):
-            step = level.join(pairs, level["at"] == pairs["here"])
+            step = level.df.join(pairs.df, level.df["at"] == pairs.df["here"])
             if least <= 1:
-                step = step.select("start", F.col("there").alias("at"), F.array("start").alias("path")).dropDuplicates(["start", "at"])
-                for old in levels:
-                    step = step.join(old.select("start", "at"), ["start", "at"], "left_anti")
+                step = step.select("start", F.col("there").alias("at")).distinct().join(seen.df.select("start", "at"), ["start", "at"], "left_anti")
+                step = step.select("start", "at", F.array("start").alias("path"), F.lit(depth).alias("depth"))
             else:
-                step = step.where(~F.array_contains("path", F.col("there"))).select("start", F.col("there").alias("at"), F.concat("path", F.array("there")).alias("path"))
-            level = written(step, "level")
-            if level.isEmpty():
+                step = step.where(~F.array_contains("path", F.col("there"))).select("start", F.col("there").alias("at"), F.concat("path", F.array("there")).alias("path"), F.lit(depth).alias("depth"))
+            level = Written(step, "level")
+            if level.df.isEmpty():
+                level.drop()
                 break
             levels.append(level)
-        reached = levels[0].select("start", "at").limit(0) if least >= len(levels) else levels[least].select("start", "at")
+            if least <= 1 and depth < most:  # one table of what was met, instead of every level on its own
+                old, seen = seen, Written(seen.df.select("start", "at").unionByName(level.df.select("start", "at")), "seen")
+                if old is not levels[0]:
+                    old.drop()
+        pairs.drop()
+        if seen is not levels[0]:
+            seen.drop()
+        reached = levels[0].df.select("start", "at").limit(0) if least >= len(levels) else levels[least].df.select("start", "at")
         for more in levels[least + 1 :]:
-            reached = reached.unionByName(more.select("start", "at"))
+            reached = reached.unionByName(more.df.select("start", "at"))
         reached = (reached if least <= 1 else reached.distinct()).select(F.col("start").alias(f"{start}__id"), F.col("at").alias(f"{end}__id"))
         ends = reached.join(self._vertices(end, there, where, props), f"{end}__id")
         return self._with(self.df.join(ends, f"{start}__id"), **{end: there})
@@ -165,9 +229,13 @@ class Match:
 
     def fold(self, start: str, name: str, direction: str = "out", where=None, link_where=None, **aggregates: Callable[[DataFrame], Column]) -> Match:
         """Independent optional branches, each folded on its own and joined to its start: ``(start)-[:name]->(x)`` with
-        aggregates over the branch's distinct ends, instead of a product of branches and one grouping over it."""
+        aggregates over the branch's distinct ends, instead of a product of branches and one grouping over it.
+        ``link_where`` is a condition on the relationship: ``lambda r: r.link.<field>``."""
         _, there = self._end(start, name, direction)
-        pairs = self._pairs(start, name, direction).withColumnRenamed("there", "x__id")
+        pairs = self._pairs(start, name, direction, payload=link_where is not None)
+        if link_where is not None:  # parallel links: an end counts once if any of them meets the condition
+            pairs = pairs.where(F.coalesce(link_where(pairs), F.lit(False))).select("here", "there").distinct()
+        pairs = pairs.withColumnRenamed("there", "x__id")
         ends = pairs.join(self._vertices("x", there, where, {}), "x__id")
         folded = ends.groupBy(F.col("here").alias(f"{start}__id")).agg(*[f(ends).alias(alias) for alias, f in aggregates.items()])
         return self._with(self.df.join(folded, f"{start}__id", "left"))
@@ -188,13 +256,14 @@ def bounded_product(left: DataFrame, right: DataFrame, most: int = MOST_BINDINGS
     a, b = left.limit(most + 1).count(), right.limit(most + 1).count()
     if a * b > most:
         raise PatternError(f"a product of {a} and {b} rows is above the bound of {most}")
-    return left.crossJoin(F.broadcast(right))
+    return left.crossJoin(right)
 
 
 def group(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """Aggregates grouped by ``keys``; without keys, no input rows give no row (not one of nulls)."""
     if keys:
         return rows.groupBy(*keys).agg(*[c.alias(a) for a, c in aggregates.items()])
+    # count() and collect() of nothing are 0 and [] where there are rows, and no row without any.
     counted = rows.agg(*[c.alias(a) for a, c in aggregates.items()], F.count("*").alias("_rows"))
     return counted.where("_rows > 0").drop("_rows")
 
@@ -202,6 +271,15 @@ def group(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
 def label_scan(graph: Graph, label: str, closure: bool = False) -> DataFrame:
     """Keys of the live vertices of a label, with ``closure`` of its subtypes too; an unknown label gives none."""
     labels = graph.closure(label) if closure else [label] if label in graph.vertices else []
+    return _keys_of(graph, labels)
+
+
+def scan_all(graph: Graph, labels: list[str] | None = None) -> DataFrame:
+    """``(key, label)`` of every live vertex, of all types or of those named."""
+    return _keys_of(graph, list(graph.vertices.makers if labels is None and hasattr(graph.vertices, "makers") else labels or graph.vertices))
+
+
+def _keys_of(graph: Graph, labels: list[str]) -> DataFrame:
     parts = [graph.vertices[x].live().select(vertex_key(x, graph.vertices[x].id_col).alias("key"), F.lit(x).alias("label")) for x in labels]
     if not parts:
         return graph.spark.createDataFrame([], "key string, label string")

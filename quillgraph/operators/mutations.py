@@ -34,7 +34,7 @@ def violations(mutations: DataFrame, state: DataFrame, classes: DataFrame | None
         F.when(F.col("expected_seq").isNotNull() & ~F.col("_seq").eqNullSafe(F.col("expected_seq")), "stale revision"),
     ]
     if classes is not None:
-        rows = rows.join(F.broadcast(classes.select(F.col("class"), F.col("abstract").alias("_abstract"))), "class", "left")
+        rows = rows.join(classes.select(F.col("class"), F.col("abstract").alias("_abstract")), "class", "left")
         checks.append(F.when((F.col("op") == "create") & F.col("_abstract").isNull(), "unknown class"))
         checks.append(F.when((F.col("op") == "create") & F.col("_abstract"), "abstract class"))
     found = rows.select("batch_id", "key", F.explode(F.filter(F.array(*checks), lambda v: v.isNotNull())).alias("violation"))
@@ -66,3 +66,19 @@ def dedupe_requests(operations: DataFrame) -> DataFrame:
     rest = [c for c in operations.columns if c not in ("request_id", "seq")]
     first = named.groupBy("request_id").agg(F.min(F.struct("seq", *rest)).alias("_row"))
     return first.select(*[F.col(c) if c == "request_id" else F.col(f"_row.{c}") for c in operations.columns]).unionByName(operations.where("request_id IS NULL"))
+
+
+def events_of(specs: DataFrame, batch: DataFrame, now: str) -> DataFrame:
+    """The events of operations: ``specs`` (request_id, position, event_class, data map<string,string>), ``batch`` the
+    operations' mutations (request_id, position, key).
+
+    A class is ``<domain>.<event name>`` (else ``problem`` says so); the target is the event's ``targetKey``, or the
+    mutation at the same position.
+    """
+    domain = F.regexp_extract("event_class", "^([^.]+)\\..+$", 1)
+    rows = specs.join(batch.select("request_id", "position", F.col("key").alias("_key")), ["request_id", "position"], "left")
+    target = F.coalesce(F.nullif(F.try_element_at("data", F.lit("targetKey")), F.lit("")), F.col("_key"))
+    return rows.select(
+        F.concat_ws("-", "request_id", F.col("position").cast("string")).alias("event_id"), "request_id", F.col("event_class").alias("event_type"), domain.alias("domain"),
+        target.alias("target_key"), F.col("data").alias("payload"), F.lit(now).alias("timestamp"), F.when(F.coalesce(domain, F.lit("")) == "", "class has no domain and name").alias("problem"),
+    )

@@ -57,18 +57,24 @@ def retractions(view: DataFrame, fresh: DataFrame, keys: list[str], scope: DataF
 
 
 def changed_only(stored: DataFrame, incoming: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Incoming rows whose values differ from what is stored: identical writes are suppressed."""
-    digest = lambda: F.xxhash64(*values)
-    same = stored.select(*keys, digest().alias("_hash"))
-    return incoming.withColumn("_hash", digest()).join(same, [*keys, "_hash"], "left_anti").drop("_hash")
+    """Incoming rows whose values differ from what is stored: identical writes are suppressed. Values are compared one by
+    one, null with null; a key that isn't stored is a change."""
+    old = stored.select(*[F.col(k).alias(f"_old_{k}") for k in keys], F.struct(*values).alias("_old"))
+    same = F.col("_old").eqNullSafe(F.struct(*values))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_old_{k}"))
+    return incoming.join(old, same, "left_anti")
 
 
 def transitions(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, transition)``: granted, revoked or none, by whether a key's row was live before and is live now."""
-    state = lambda rows, name: rows.select(*keys, (~F.coalesce("is_deleted", F.lit(False))).alias(name))
+    """``(keys, transition)``: granted, revoked or none, by whether a key's row was live before and is live now; unknown
+    where a row is there but doesn't say (a null ``is_deleted``)."""
+    state = lambda rows, name: rows.select(*keys, F.lit(True).alias(f"{name}_there"), (~F.col("is_deleted")).alias(name))
     both = state(before, "was").join(state(after, "now"), keys, "full_outer")
+    unsure = (F.col("was_there") & F.col("was").isNull()) | (F.col("now_there") & F.col("now").isNull())
     was, now = F.coalesce("was", F.lit(False)), F.coalesce("now", F.lit(False))
-    return both.select(*keys, F.when(~was & now, "granted").when(was & ~now, "revoked").otherwise("none").alias("transition"))
+    named = F.when(F.coalesce(unsure, F.lit(False)), "unknown").when(~was & now, "granted").when(was & ~now, "revoked").otherwise("none")
+    return both.select(*keys, named.alias("transition"))
 
 
 def collisions(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,7 +106,7 @@ def merge_branches(branches: list[DataFrame], keys: list[str], agreed: list[str]
 
 def keep_real(entries: Column, name: str) -> Column:
     """Entries of a list of structs whose field ``name`` is neither null nor empty; never null."""
-    return F.coalesce(F.filter(entries, lambda e: e[name].isNotNull() & (e[name].cast("string") != "")), F.filter(entries, lambda e: F.lit(False)), F.array())
+    return F.coalesce(F.filter(entries, lambda e: e[name].isNotNull() & (e[name].cast("string") != "")), F.array())
 
 
 def empty_behaviour(size: Column, behaviour: str) -> Column:

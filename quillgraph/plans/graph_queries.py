@@ -24,7 +24,7 @@ def idle_customers(spark, sf_dir):
     g, m = start(spark, sf_dir)
     m = m.node("c", "customer").hop("c", "inNation", "n")
     m = m.fold("c", "placedBy", "in", where=lambda o: o.o_orderstatus == "O", n_open=lambda o: F.count("*"))
-    m = m._with(m.df.withColumn("open", F.coalesce("n_open", F.lit(0))))
+    m = m.with_columns(open=lambda r: F.coalesce(r.df.n_open, F.lit(0)))
     return m.select(customer_key="c.key", nation="n.n_name", open_orders=lambda r: r.df.open, idle=lambda r: V.equal(r.df.open, F.lit(0), "bigint", "bigint"))
 
 
@@ -54,7 +54,7 @@ def inline_filter(spark, sf_dir):
     g, m = start(spark, sf_dir)
     low = g.vertices["customer"].df.agg(F.min("c_mktsegment").alias("s"))
     m = m.node("c", "customer", where=lambda c: c.c_acctbal > 0)
-    return m._with(m.df.join(F.broadcast(low), m.df["c__c_mktsegment"] == low["s"])).select(id="c.id")
+    return m.joined(low.withColumnRenamed("s", "c__c_mktsegment"), "c__c_mktsegment", "inner").select(id="c.id")
 
 
 @query("SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -227,7 +227,7 @@ def sibling_branches(spark, sf_dir):
     g, m = start(spark, sf_dir)
     segments = M.Match(g).node("n", "nation").fold("n", "inNation", "in", customers=lambda c: F.count_distinct("x__c_mktsegment"))
     m = m.node("s", "supplier").hop("s", "locatedIn", "n").fold("s", "suppliedBy", "in", orders=lambda p: F.count_distinct("x__id"))
-    m = m._with(m.df.join(segments.df.select("n__id", "customers"), "n__id", "left"))
+    m = m.joined(segments.df.select("n__id", "customers"), "n__id")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return m.select(supplier="s.id", customers=lambda r: zero(r.df.customers), orders=lambda r: zero(r.df.orders))
 
@@ -290,11 +290,11 @@ def adjacency(spark, sf_dir):
     return rows.select(F.col("node").cast("long").alias("supplier"), "direction", other.alias("other"), "lkey")
 
 
-@query("""SELECT DISTINCT n_nationkey AS id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 100 = 1""")
+@query("""SELECT DISTINCT n_nationkey AS id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'""")
 def affected_anchors(spark, sf_dir):
     """Nations whose rows a change of orders touches: the pattern walked back."""
     g, _ = start(spark, sf_dir)
-    changed = g.vertices["order"].df.where("o_orderkey % 100 = 1").select(F.col("o_orderkey").alias("id"))
+    changed = g.vertices["order"].df.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
     return M.affected(g, changed, "order", [("placedBy", "out"), ("inNation", "out")])
 
 

@@ -88,7 +88,7 @@ def realness_filter(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_nationkey", F.struct(F.when(F.col("c_acctbal") > 9000, F.col("c_name")).alias("name"), F.col("c_custkey").alias("k")).alias("e"))
     lists = c.groupBy("c_nationkey").agg(F.collect_list("e").alias("entries"))
     n = table(spark, sf_dir, "nation").join(lists, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    size = F.size(F.filter(F.coalesce("entries", F.array().cast("array<struct<name:string,k:bigint>>")), lambda e: e["name"].isNotNull() & (e["name"] != "")))
+    size = F.size(views.keep_real(F.coalesce("entries", F.array().cast("array<struct<name:string,k:bigint>>")), "name"))
     return n.select(F.col("n_nationkey").alias("id"), size.cast("long").alias("n"), views.empty_behaviour(size, "delete").alias("op"))
 
 
@@ -160,9 +160,10 @@ def protected(spark, sf_dir):
     return c.select("c_custkey", F.array(F.col("c_nationkey").cast("string"), ((F.col("c_nationkey") + 1) % 25).cast("string")).alias("authz_anchors"))
 
 
-@query("""SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS actor_id, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey OR s_nationkey = (c_nationkey + 1) % 25 WHERE s_suppkey % 7 <> 0""")
+@query("""SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS actor_id, CAST(c_custkey AS VARCHAR) AS c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey OR s_nationkey = (c_nationkey + 1) % 25
+WHERE s_suppkey % 7 <> 0 AND s_suppkey <> 1 UNION ALL SELECT '1', '*'""")
 def rls_visible(spark, sf_dir):
-    """Pairs of actor and row that live grants allow."""
+    """What live grants let each actor read: pairs, and one row for the holder of the wildcard."""
     return authz.visible(protected(spark, sf_dir), grants(spark, sf_dir), "c_custkey")
 
 
@@ -234,9 +235,13 @@ def trajectory(spark, sf_dir):
     return convergence.trajectory(e, "user_id", "day", "n")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, n, event_id, false AS hit, [event_type] AS ring FROM e WHERE n = 1
+UNION ALL SELECT user_id, n, event_id, alt, CASE WHEN alt THEN [] WHEN len(x) > 8 THEN x[2:] ELSE x END FROM (SELECT *, len(x) >= 4 AND x[-1] = x[-3] AND x[-2] = x[-4] AND x[-1] <> x[-2] AS alt
+FROM (SELECT e.user_id, e.n, e.event_id, list_append(r.ring, e.event_type) AS x FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+SELECT user_id, event_id FROM r WHERE hit""")
 def oscillation(spark, sf_dir):
-    """Users whose event types alternate, four in a row (tested against a loop)."""
+    """Users whose event types alternate, four in a row; a hit starts anew. The SQL goes through a ring of eight."""
     return convergence.oscillations(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 

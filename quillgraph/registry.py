@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, view_queries  # noqa: F401  (they register themselves)
+from .plans import change_queries, graph_queries, view_queries  # noqa: F401  (they register themselves)
 from .plans.define import ORACLES, QUERIES
 
 FLAGSHIP = "idle_customers"

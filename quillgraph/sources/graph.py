@@ -39,7 +39,7 @@ class LinkType:
     def pairs(self, direction: str, payload: bool = False) -> DataFrame:
         """``(here, there)`` for an outward, inward or either-way hop; parallel links collapse unless the payload is
         asked for. A hop never returns to where it starts."""
-        out = self.live().select(F.col("src").alias("here"), F.col("dst").alias("there"), *([F.struct("*").alias("link")] if payload else []))
+        out = self.live().select(F.col("src").alias("here"), F.col("dst").alias("there"), *([F.struct("*", F.lit(self.name).alias("name"), link_key(self, F.col("src"), F.col("dst")).alias("key")).alias("link")] if payload else []))
         back = out.select(F.col("there").alias("here"), F.col("here").alias("there"), *(["link"] if payload else []))
         rows = {"out": out, "in": back}[direction] if direction != "both" else out.unionByName(back)
         if self.src_label == self.dst_label:
@@ -113,6 +113,18 @@ def link_key(link: LinkType, src: Column, dst: Column) -> Column:
     return F.concat(F.lit(f"lnk.{link.src_label}."), src.cast("string"), F.lit(f".{link.name}.{link.dst_label}."), dst.cast("string"))
 
 
+def class_authority(classes: DataFrame, most: int = 4) -> DataFrame:
+    """``(id, type_id)``: for each vertex (id, instance_of, declared), the declared type that it or one of the up to
+    ``most`` vertices above it by live ``instance_of`` links is; null where none is met. A declared type stands for itself."""
+    up = classes.select(F.col("id").alias("_up"), F.col("instance_of").alias("_next"), F.col("declared").alias("_declared"))
+    rows = classes.select("id", F.when(F.col("declared"), F.col("id")).alias("type_id"), F.when(~F.coalesce("declared", F.lit(False)), F.col("instance_of")).alias("_at"))
+    for _ in range(most):
+        met = rows.join(up, rows["_at"] == up["_up"], "left")
+        found = F.coalesce("_declared", F.lit(False))
+        rows = met.select("id", F.coalesce("type_id", F.when(found, F.col("_up"))).alias("type_id"), F.when(~found, F.col("_next")).alias("_at"))
+    return rows.select("id", "type_id")
+
+
 def adjacency(link: LinkType) -> DataFrame:
     """Two directed entries a link: ``(node, direction, name, other, lkey)``."""
     rows = link.live().withColumn("lkey", link_key(link, F.col("src"), F.col("dst")))

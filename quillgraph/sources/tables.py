@@ -9,16 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine), a folder of our own."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a folder of our own on one machine, an error on several
+    (each would write to its own disk)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="graph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class Written:
+    """A written intermediate: ``df`` reads it (lineage is cut, and a lost executor costs a reread only); ``drop`` deletes
+    its files once nothing needs them."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written out, and a DataFrame that reads it: lineage is cut, and a lost executor costs a reread only."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written out, and a DataFrame that reads it."""
+    return Written(df, name).df

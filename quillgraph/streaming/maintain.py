@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,11 +14,13 @@ from ..operators.views import guarded_merge, retractions
 
 
 class SnapshotTable:
-    """A view in versions: each merge writes a new folder and then one small pointer row, so readers see whole versions
-    and a batch that is replayed after a failure writes the same version again."""
+    """A view in versions, in ``buckets`` by the hash of its keys. A merge reads and writes only the buckets that its rows
+    fall into; a version is a small list that says which version last wrote each bucket. Readers see whole versions,
+    and a batch that is replayed after a failure writes the same version again. The last ``keep`` versions can be read;
+    files that none of them needs are deleted."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 16, keep: int = 8):
+        self.spark, self.path, self.keys, self.buckets, self.kept = spark, path.rstrip("/"), keys, buckets, keep
         self.schema = spark.createDataFrame([], schema).schema
 
     def _fs(self, path: str):
@@ -26,26 +28,62 @@ class SnapshotTable:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
+    def _names(self, folder: str) -> list[str]:
+        fs, where = self._fs(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
     def version(self) -> int:
-        fs, where = self._fs(f"{self.path}/done")
-        if not fs.exists(where):
-            return -1
-        return max([int(s.getPath().getName()) for s in fs.listStatus(where)], default=-1)
+        return max([int(n.split("-")[0]) for n in self._names("done")], default=-1)
+
+    def _writers(self, version: int) -> dict[int, int]:
+        """For each bucket that has rows, the version that last wrote it: it stands in the name of an empty file."""
+        found = [n for n in self._names("done") if int(n.split("-")[0]) == version]
+        pairs = found[0].split("-")[1] if found else ""
+        return {int(b): int(v) for b, v in (p.split(".") for p in pairs.split("_") if p)}
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, only: set[int] | None = None) -> DataFrame:
         at = self.version() if version is None else version
-        if at < 0:
+        writers = {b: v for b, v in self._writers(at).items() if only is None or b in only} if at >= 0 else {}
+        if not writers:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{at}")
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        fs, done = self._fs(f"{self.path}/done/{version}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/v{v}/bucket={b}" for b, v in writers.items()])
+
+    def write(self, rows: DataFrame, version: int, only: set[int] | None = None) -> None:
+        """A version of these rows; with ``only``, of these buckets, the others stay as the version before has them."""
+        where = f"{self.path}/v{version}"
+        dealt = rows.select(*self.schema.names, self._bucket().alias("bucket")).repartition(self.buckets, "bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(where)
+        writers = {} if only is None or version <= 0 else {b: v for b, v in self._writers(version - 1).items() if b not in only}
+        writers |= {int(n.split("=")[1]): version for n in self._names(f"v{version}") if n.startswith("bucket=")}
+        for old in [n for n in self._names("done") if int(n.split("-")[0]) == version]:
+            self._delete(f"done/{old}")
+        fs, done = self._fs(f"{self.path}/done/{version}-" + "_".join(f"{b}.{v}" for b, v in sorted(writers.items())))
         fs.create(done, True).close()
+        self._forget(version)
+
+    def _delete(self, name: str) -> None:
+        fs, where = self._fs(f"{self.path}/{name}")
+        fs.delete(where, True)
+
+    def _forget(self, version: int) -> None:
+        for name in self._names("done"):
+            if int(name.split("-")[0]) <= version - self.kept:
+                self._delete(f"done/{name}")
+        needed = {v for n in self._names("done") for v in self._writers(int(n.split("-")[0])).values()} | {version}
+        for name in self._names(""):
+            if name.startswith("v") and int(name[1:]) not in needed:
+                self._delete(name)
 
     def merge(self, incoming: DataFrame, version: int) -> None:
         """Guarded upserts and tombstones on the version before; ``incoming`` has the view's columns."""
-        self.write(guarded_merge(self.read(version - 1 if version > 0 else -1), incoming.select(*self.schema.names), self.keys), version)
+        rows = incoming.select(*self.schema.names)
+        # At most ``buckets`` numbers.
+        touched = {r["b"] for r in rows.select(self._bucket().alias("b")).distinct().collect()}
+        before = self.read(version - 1 if version > 0 else -1, touched)
+        self.write(guarded_merge(before, rows, self.keys), version, touched)
 
 
 @dataclass
@@ -64,7 +102,7 @@ class MaintainedView:
         """One micro-batch: affected anchors, their fresh rows, tombstones for rows that are gone, a guarded merge."""
         seq = changes.agg(F.max("seq").alias("seq")).first()["seq"]
         if seq is None:
-            self.table.write(self.table.read(version - 1), version)
+            self.table.merge(self.table.read(-1), version)
             return
         anchors = self.affected(changes).select(F.col("id").alias(self.anchor)).distinct()
         fresh = self.evaluate(anchors).withColumn("projection_seq", F.lit(seq)).withColumn("is_deleted", F.lit(False))

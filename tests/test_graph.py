@@ -123,20 +123,21 @@ def test_history_keeps_unset_apart_from_null(spark):
         history.HistoryDefinition("targetKey")
 
 
-def test_oscillation_against_a_loop(spark):
+def test_oscillation_against_the_ring(spark):
+    """A ring of the last eight values that a hit empties."""
     import random
 
     rng = random.Random(2)
-    rows = [(p, k, rng.choice("ab" if p % 2 else "abc")) for p in range(8) for k in range(60)]
+    rows = [(p, k, rng.choice(["a", "b"] if p % 2 else ["a", "b", "c", None])) for p in range(8) for k in range(60)]
+    rows += [(8, k, v) for k, v in enumerate("ABABCBCBCBAAABABABAB")] + [(9, k, "ab"[k % 2]) for k in range(50)]
     want = set()
-    for p in range(8):
-        run = []
+    for p in range(10):
+        ring = []
         for _, k, v in [r for r in rows if r[0] == p]:
-            if run and not (v != run[-1] and (len(run) < 2 or v == run[-2])):
-                run = run[-1:] if v != run[-1] else []
-            run.append(v)
-            if len(run) and len(run) % 4 == 0:
+            ring = [*ring, v][-8:]
+            if len(ring) >= 4 and ring[-1] == ring[-3] and ring[-2] == ring[-4] and ring[-1] != ring[-2]:
                 want.add((p, k))
+                ring = []
     got = {tuple(r) for r in convergence.oscillations(spark.createDataFrame(rows, "p int, k int, v string"), "p", "k", "v").collect()}
     assert got == want
 

@@ -37,6 +37,19 @@ def test_view_follows_its_changes(spark, tmp_path):
     assert live(table.read()).count() == 3
 
 
+def test_a_merge_rewrites_only_the_buckets_that_it_touches(spark, tmp_path):
+    schema = "id long, v string, projection_seq long, is_deleted boolean"
+    table = SnapshotTable(spark, f"file://{tmp_path}/t", schema, ["id"], buckets=4, keep=3)
+    rows = lambda ids, v, seq: spark.createDataFrame([(k, v, seq, False) for k in ids], schema)
+    table.merge(rows(range(40), "a", 1), 0)
+    for version in range(1, 7):
+        table.merge(rows([5], f"b{version}", version + 1), version)
+        assert len([p for p in (tmp_path / "t" / f"v{version}").iterdir() if p.name.startswith("bucket=")]) == 1
+        assert {(r.id, r.v) for r in table.read().collect()} == {(k, f"b{version}" if k == 5 else "a") for k in range(40)}
+    assert {r.v for r in table.read(5).where("id = 5").collect()} == {"b5"}
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v")) == ["v0", "v4", "v5", "v6"]
+
+
 def test_changes_arrive_as_a_stream(spark, tmp_path):
     source = f"file://{tmp_path}/changes"
     spark.createDataFrame([(1, 1), (2, 2)], "customer long, seq long").write.parquet(source)
