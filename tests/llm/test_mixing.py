@@ -21,7 +21,7 @@ def edf(shares: dict, cycle: int) -> list:
 def test_cycle_is_earliest_deadline_first(spark):
     shares = {"a": 37, "b": 1, "c": 22, None: 40}
     got = mixing.cycle_slots(spark.createDataFrame(list(shares.items()), "source string, share long"), 100).collect()
-    assert [r.source for r in sorted(got, key=lambda r: r.slot)] == edf(shares, 100)
+    assert [s for _, s in sorted((slot, r.source) for r in got for slot in r.slots)] == edf(shares, 100)
 
 
 def test_rows_are_whole_and_deviation_stays_below_one_block(spark, monkeypatch):
@@ -51,11 +51,36 @@ def test_rows_are_whole_and_deviation_stays_below_one_block(spark, monkeypatch):
     assert len(set(places)) == len(places)
 
 
-def test_parts_number_a_hot_source_whole(spark):
-    docs = spark.range(1000).selectExpr("id AS doc_id", "if(id % 10 = 0, 'b', 'a') AS _source")
-    sizes = docs.groupBy("_source").count().selectExpr("_source AS source", "count AS n")
-    got = mixing.numbered(docs, sizes, "doc_id", part_rows=50).groupBy("_source").agg({"_place": "max", "*": "count"}).collect()
-    assert {(r[0], r["max(_place)"] + 1, r["count(1)"]) for r in got} == {("a", 900, 900), ("b", 100, 100)}
+def test_parts_number_a_hot_source_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_RUN", 3)
+    docs = spark.range(1000).selectExpr("if(id % 10 = 0, 'b', 'a') AS source", "if(id % 10 = 0, 100L, 900L) AS n", "if(id % 3 = 0, null, id) AS id", "xxhash64(id) AS mark")
+    got = mixing.numbered(docs, part_rows=50).collect()
+    for source, n in (("a", 900), ("b", 100)):
+        assert sorted(r.place for r in got if r.source == source) == list(range(n))
+
+
+def test_more_sources_than_a_cycle_has_slots(spark):
+    """1,300 sources in groups of 20, these in groups again: every row has a place, and no source is over two or three blocks off."""
+    rng = random.Random(4)
+    rows = [(k, f"host{rng.randrange(1300)}" if k % 3 else "hot") for k in range(9000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), cycle=60, block_rows=2, group=20).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    slots = {}
+    for r in got:
+        assert r.mix_release <= r.mix_slot < r.mix_deadline
+        slots.setdefault(r.mix_slot, set()).add((r.source, r.mix_block))
+    assert all(len(s) == 1 for s in slots.values())
+    assert len({(r.source, r.mix_block, r.mix_offset) for r in got}) == 9000
+    weights = mixing.levels(spark.createDataFrame(list(Counter(s for _, s in rows).items()), "source string, n long"), 0.5, 60, 20).collect()
+    assert abs(sum(math.prod(x / 60 for x in r.shares) for r in weights) - 1) < 1e-9 and {len(r.shares) for r in weights} == {3}
+
+
+def test_columns_may_have_any_names(spark):
+    names = ["source", "id", "place", "part", "n", "doc", "Row", "mark", "_source", "shares", "slots"]
+    docs = spark.createDataFrame([(k, *[f"{c}{k % 3}" for c in names], {"a": k}) for k in range(50)], "doc_id long, " + ", ".join(f"{c} string" for c in names) + ", extra map<string,int>")
+    mixed = mixing.mix(docs)
+    assert mixed.columns[:13] == docs.columns
+    assert sorted(str(tuple(r)[:13]) for r in mixed.collect()) == sorted(str(tuple(r)) for r in docs.collect())
 
 
 def test_targets_and_order(spark):
