@@ -5,13 +5,18 @@ with Spark's higher-order functions, looking ranks up in a literal map. Three na
 shuffled or gathered:
 
 1. ``_number_words`` (Arrow): the pattern's matches, numbered per task in order of first appearance. A row carries
-   its word numbers and the words that it is the first to show.
+   its word numbers; the first row of each group of rows also carries the words that the group is the first to show.
 2. ``fold_merges`` (JVM): each new word's byte array, merged pair by pair, lowest rank first, into token ids.
 3. ``_join_ids`` (Arrow): rows arrive in the same order, so every word's ids are known when a row needs them.
 
-Words are dealt with once per task. After ``MOST_WORDS`` distinct words a task starts a new numbering, so memory is
-bounded whatever the partition's size. A lost task is simply run again: steps depend on the partition's rows alone.
-Decoding looks up each id's bytes and concatenates the binary pieces.
+The fold's work grows with the square of a word's length, so a word above ``PIECE`` bytes is folded in overlapping
+pieces. Two neighbouring pieces are joined at a token that both have at the same place: an encoding is right if and
+only if each token stays unmerged next to the one after it, and all neighbours in the joined encoding are neighbours
+in one of the pieces'. Pieces that agree on no token (not met so far) are merged once more as one, without the fold.
+
+Words are dealt with once per task. After ``MOST_WORDS`` distinct words (or ``MOST_BYTES``) a task starts a new
+numbering, so memory is bounded whatever the partition's size. A lost task is simply run again: steps depend on the
+partition's rows alone. Decoding looks up each id's bytes and concatenates the binary pieces.
 """
 
 from __future__ import annotations
@@ -19,20 +24,27 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct words after which a task's numbering starts again.
-MOST_WORDS = 500_000
-#: Bytes of a word up to which the fold merges it. The fold copies its state at each merge, so its work grows with the
-#: square of a word's length; runs without a break (rare, but of any length) go to ``merge_long``, which is exact too.
-LONG_WORD = 192
+from . import tokencount
+
+#: Distinct words, and bytes of them, after which a task's numbering starts again.
+MOST_WORDS, MOST_BYTES = 500_000, 1 << 25
+#: Bytes of a folded piece of a long word, and from the start of one piece to the next.
+PIECE, PIECE_STEP = 128, 64
+#: Rows, and characters of texts, that are worked on together, about.
+ROWS, STREAM = 128, 1 << 19
 #: Buckets of the literal rank map: Spark looks a key up in a map by walking it, so each holds about one entry.
 BUCKETS = 1 << 16
+#: A piece in the fold's state is one character, its id's; ids start above the control characters, and DONE marks that
+#: nothing merges any more.
+FIRST, DONE = 0x100, 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,48 +53,37 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _hash(text: bytes) -> int:
-    """What Spark's ``hash`` gives for a string (its 32-bit Murmur3, seed 42; the last bytes are signed), unsigned."""
-    full = 0xFFFFFFFF
-
-    def mix(h: int, k: int) -> int:
-        k = k * 0xCC9E2D51 & full
-        k = (k << 15 | k >> 17) & full
-        h ^= k * 0x1B873593 & full
-        return (((h << 13 | h >> 19) & full) * 5 + 0xE6546B64) & full
-
-    h, whole = 42, len(text) & ~3
-    for k in range(0, whole, 4):
-        h = mix(h, int.from_bytes(text[k : k + 4], "little"))
-    for byte in text[whole:]:
-        h = mix(h, byte if byte < 128 else byte | 0xFFFFFF00)
-    h ^= len(text)
-    h = (h ^ h >> 16) * 0x85EBCA6B & full
-    h = (h ^ h >> 13) * 0xC2B2AE35 & full
-    return h ^ h >> 16
+def piece_char(rank: int) -> str:
+    """The character that stands for an id; the code points that are no characters are left out."""
+    return chr(FIRST + rank if FIRST + rank < 0xD800 else FIRST + 0x800 + rank)
 
 
-#: A piece in the fold's state is one character, its id's; ids start above the control characters.
-FIRST, DONE = 0x100, "\u0001"
+def ids_of(points: np.ndarray) -> np.ndarray:
+    """The ids of code points."""
+    points = points.astype(np.int32)
+    return np.where(points < 0xD800, points, points - 0x800) - FIRST
 
 
-def pieces_of(word: bytes, ranks: dict[bytes, int]) -> str:
-    """A word's byte array as the fold's state: a character for the id of each byte."""
-    return "".join(chr(FIRST + ranks[word[k : k + 1]]) for k in range(len(word)))
-
-
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: small maps from two pieces (two characters) to the rank of their union, by hash."""
-    if max(ranks.values()) + FIRST >= 0xD800:
-        raise ValueError("ranks beyond one plane of characters")
-    table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The rank map as a literal: in buckets by Spark's ``hash``, from a pair of pieces (two characters) to their union's
+    piece with the pair behind it, so that the least of the found texts has the lowest rank.
+    """
+    merged: dict[str, str] = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             first, second = ranks.get(token[:cut]), ranks.get(token[cut:])
             if first is not None and second is not None:
-                pair = chr(FIRST + first) + chr(FIRST + second)
-                table[_hash(pair.encode()) & (BUCKETS - 1)][pair] = rank
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"), ensure_ascii=False)), "array<map<string,int>>")
+                merged[piece_char(first) + piece_char(second)] = piece_char(rank)
+    # One small row per pair of the vocabulary: Spark says which bucket it looks in.
+    rows = spark.createDataFrame(pa.table({"pair": list(merged)})).select("pair", bucket_of(F.col("pair")).alias("bucket")).toArrow()
+    table: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    for pair, bucket in zip(rows["pair"].to_pylist(), rows["bucket"].to_pylist()):
+        table[bucket][pair] = merged[pair] + pair
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"), ensure_ascii=False)), "array<map<string,string>>")
+
+
+def bucket_of(pair: Column) -> Column:
+    return F.hash(pair).bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def _bind(value: Column, body) -> Column:
@@ -90,34 +91,27 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fold_word(word: Column, ranks: Column, chars: Column) -> Column:
-    """The word's pieces, merged: at each step the pair of lowest rank (the leftmost of equals) becomes one piece.
-
-    Pieces are characters, so that a step is a few operations on one short string; ``DONE`` marks that nothing merges.
-    """
-
-    def rank(pair):
-        return F.try_element_at(F.get(ranks, F.hash(pair).bitwiseAND(F.lit(BUCKETS - 1))), pair)
-
-    def united(state, best):  # best: the rank, and below it the place (from 1) of the pair's first piece
-        at = best.bitwiseAND(F.lit(0xFF))
-        return F.concat(F.substring(state, F.lit(1), at - 1), F.get(chars, F.shiftright(best, 8)), F.substring(state, at + 2, F.lit(LONG_WORD)))
+def _fold_word(word: Column, ranks: Column) -> Column:
+    """The word's pieces, merged: at each step the pair of lowest rank (the leftmost of equals) becomes one piece."""
 
     def step(state, _):
-        n = F.char_length(state)
-        least = lambda best, i: F.least(best, F.shiftleft(rank(F.substring(state, i, F.lit(2))), 8) + i)
-        best = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(None).cast("int"), least)
-        merged = _bind(best, lambda b: F.when(b.isNull(), F.concat(state, F.lit(DONE))).otherwise(united(state, b)))
-        return F.when(F.endswith(state, F.lit(DONE)) | (n < 2), state).otherwise(merged)
+        pairs = F.transform(F.sequence(F.lit(1), F.char_length(state) - 1), lambda i: F.substring(state, i, F.lit(2)))
+        best = F.array_min(F.transform(pairs, lambda pair: F.try_element_at(F.get(ranks, bucket_of(pair)), pair)))
+        merged = _bind(
+            best,
+            lambda b: F.when(b.isNull(), F.concat(state, F.lit(chr(DONE)))).otherwise(
+                F.overlay(state, F.substring(b, 1, 1), F.instr(state, F.substring(b, 2, 2)), F.lit(2))
+            ),
+        )
+        return F.when(F.endswith(state, F.lit(chr(DONE))) | (F.char_length(state) < 2), state).otherwise(merged)
 
     n = F.char_length(word)
     return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), word, step))
 
 
-def fold_merges(words: Column, ranks: dict[bytes, int]) -> Column:
-    """The merged pieces of each word of an array of words, each a character a byte (see ``pieces_of``)."""
-    chars = F.split(F.lit("".join(chr(FIRST + k) for k in range(max(ranks.values()) + 1))), "")
-    return _bind(rank_literal(ranks), lambda table: _bind(chars, lambda c: F.transform(words, lambda w: _fold_word(w, table, c))))
+def fold_merges(words: Column, literal: Column) -> Column:
+    """The merged pieces of each word of an array of words, each a character a byte (see ``piece_char``)."""
+    return _bind(literal, lambda table: F.transform(words, lambda w: _fold_word(w, table)))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -146,100 +140,210 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : stop[i]]] for i in range(n) if alive[i]]
 
 
+def splitter(pattern: str) -> Callable:
+    """A function from texts to ``(data, first, stop, text number)`` of their words, places in the UTF-8 ``data``.
+
+    The usual pattern is read by its transducer, any other one by a regular expression.
+    """
+    if pattern == tokencount.PATTERN:
+        classes = tokencount.char_classes()
+        return lambda texts: tokencount.cut_words(texts, classes)
+    find = regex.compile(pattern)
+
+    def cut(texts: list[str]):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        places = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+        spans, at = [np.zeros((0, 3), np.int64)], 0
+        for k, text in enumerate(texts):
+            spans.append(np.array([(at + m.start(), at + m.end(), k) for m in find.finditer(text) if m.group()], np.int64).reshape(-1, 3))
+            at += len(text)
+        found = np.concatenate(spans)
+        return data, places[found[:, 0]], places[found[:, 1]], found[:, 2]
+
+    return cut
+
+
+def segments(text: str, pattern: str) -> list[str]:
+    """A very long text in several parts, cut where the usual pattern always starts a word: before a blank between two
+    characters that are no white space."""
+    if len(text) <= STREAM or pattern != tokencount.PATTERN:
+        return [text]
+    found, at, cut = [], 0, regex.compile(r"(?<=\S) (?=\S)")
+    while (m := cut.search(text, at + STREAM)) is not None:
+        found.append(text[at : m.start()])
+        at = m.start()
+    return [*found, text[at:]]
+
+
+def _groups(sizes: list[int]):
+    """Ranges of rows whose texts have about ``STREAM`` characters together."""
+    first = held = 0
+    for k, size in enumerate(sizes):
+        held += size
+        if held >= STREAM or k == len(sizes) - 1:
+            yield first, k + 1
+            first, held = k + 1, 0
+
+
+def _distinct(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The number of each word among the distinct ones, these, and which of them are words (others lie in between)."""
+    edges = np.empty(2 * len(first) + 1, np.int32)
+    edges[0:-1:2], edges[1::2], edges[-1] = first, stop, stop[-1] if len(stop) else 0
+    edges[2:-1:2] = first[1:]
+    array = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    coded = array.dictionary_encode()
+    codes = np.asarray(coded.indices)[0::2]
+    return codes, coded.dictionary.to_pylist(), np.bincount(codes, minlength=len(coded.dictionary)) > 0
+
+
 class _Numbers(dict):
-    """Numbers words in order of first appearance; ``new`` gathers those since it was last emptied."""
+    """Numbers words in order of first appearance and gathers the new ones; long words are numbered with their pieces."""
 
     def __init__(self):
-        self.new: list[str] = []
+        self.size, self.new, self.long = 0, [], []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
-        self.new.append(word)
+        self.size += len(word)
+        if len(word) <= PIECE:
+            self.new.append(word)
+        else:
+            self.new.append(b"")
+            last = -(-(len(word) - PIECE) // PIECE_STEP)
+            self.long.append({"word": number, "pieces": [self[word[k * PIECE_STEP : k * PIECE_STEP + PIECE]] for k in range(last + 1)]})
         return number
 
 
-#: Words above LONG_WORD bytes: their place among the row's new words, and their bytes.
-LONGS = pa.list_(pa.struct([("at", pa.int32()), ("bytes", pa.binary())]))
+LONGS = pa.list_(pa.struct([("word", pa.int32()), ("pieces", pa.list_(pa.int32()))]))
 
 
-def _number_words(pattern: str, ranks: dict[bytes, int], rows: int = 128):
+def _number_words(pattern: str, ranks: dict[bytes, int]):
     def run(batches):
-        single = {b: chr(FIRST + ranks[bytes([b])]) for b in range(256)}
-        find, numbers, fresh = regex.compile(pattern), _Numbers(), True
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, min(rows, batch.num_rows - at))
-                places, words, starts = [], [], []
-                for text in part.column(1).to_pylist():
-                    if len(numbers) > MOST_WORDS:
-                        numbers, fresh = _Numbers(), True
-                    if text and len(text) > 1 << 20:  # no list of all the words of a huge text at once
-                        got = np.fromiter((numbers[m.group()] for m in find.finditer(text)), np.int32)
-                    else:
-                        got = np.fromiter(map(numbers.__getitem__, find.findall(text or "")), np.int32)
-                    places.append(got)
-                    words.append([w.encode() for w in numbers.new])
-                    starts.append(fresh)
-                    numbers.new, fresh = [], False
-                short = [w.decode("latin-1").translate(single) if len(w) <= LONG_WORD else "" for new in words for w in new]
-                lists = pa.ListArray.from_arrays(_offsets(words), pa.array(short, pa.string()))
-                longs = pa.array([[{"at": k, "bytes": w} for k, w in enumerate(new) if len(w) > LONG_WORD] for new in words], LONGS)
-                yield pa.record_batch([part.column(0), _int_lists(places), lists, longs, pa.array(starts)], ["id", "place", "word", "long", "fresh"])
+        cut, single = splitter(pattern), Pieces([piece_char(ranks[bytes([b])]).encode() for b in range(256)])
+        numbers, fresh = _Numbers(), True
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in _groups(list(map(len, texts))):
+                parts = [(k, s) for k in range(a, b) for s in segments(texts[k], pattern)]
+                if len(numbers) > MOST_WORDS or numbers.size > MOST_BYTES:
+                    numbers, fresh = _Numbers(), True
+                places, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+                for at, stop in _groups([len(s) for _, s in parts]):
+                    data, first, end, which = cut([s for _, s in parts[at:stop]])
+                    codes, words, real = _distinct(data, first, end)
+                    known = np.fromiter((numbers[w] if r else 0 for w, r in zip(words, real.tolist())), np.int32, len(words))
+                    places.append(known[codes])
+                    rows.append(np.array([k for k, _ in parts[at:stop]], np.int64)[which])
+                lens = np.bincount(np.concatenate(rows) - a, minlength=b - a)
+                none = [0] * (b - a - 1)
+                yield pa.record_batch(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        _lists(pa.array(np.concatenate(places)), lens),
+                        _lists(single.texts(numbers.new), [len(numbers.new), *none]),
+                        pa.array([numbers.long, *[[] for _ in none]], LONGS),
+                        pa.array([fresh, *map(bool, none)]),
+                    ],
+                    ["id", "place", "word", "long", "fresh"],
+                )
+                numbers.new, numbers.long, fresh = [], [], False
 
     return run
 
 
-def _offsets(values: list) -> pa.Array:
-    return pa.array(np.cumsum([0, *map(len, values)], dtype=np.int32))
+def _lists(values: pa.Array, lens) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), values)
 
 
-def _int_lists(values: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(_offsets(values), pa.array(np.concatenate(values) if values else np.array([], np.int32), pa.int32()))
-
-
-def _join_ids(ranks: dict[bytes, int], with_bytes: bool, rows: int = 128):
+def _join_ids(ranks: dict[bytes, int], with_bytes: bool):
     def run(batches):
-        tokens = [None] * (max(ranks.values()) + 1)
+        tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        book = Pieces(tokens)
-        flat, starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)  # ids of every word seen, end to end
-        n_ids = n_words = 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, min(rows, whole.num_rows - at))
-                found = []
-                for k in range(batch.num_rows):
-                    if batch.column(4)[k].as_py():
-                        n_ids = n_words = 0
-                    ids = batch.column(2)[k].values
-                    if ids is not None and len(ids):
-                        lens, more = _ids_of(ids, batch.column(3)[k].as_py(), ranks)
-                        while n_ids + len(more) > len(flat):
-                            flat = np.r_[flat, np.zeros_like(flat)]
-                        while n_words + len(lens) + 1 > len(starts):
-                            starts = np.r_[starts, np.zeros_like(starts)]
-                        flat[n_ids : n_ids + len(more)] = more
-                        starts[n_words] = n_ids
-                        starts[n_words + 1 : n_words + 1 + len(lens)] = n_ids + np.cumsum(lens)
-                        n_ids, n_words = n_ids + len(more), n_words + len(lens)
-                    place = np.asarray(batch.column(1)[k].values)
-                    found.append(flat[spread(starts[place], starts[place + 1])])
-                columns = [batch.column(0), _int_lists(found)]
+        book, words = Pieces(tokens), _Words()
+        for batch in batches:
+            place, word, long = batch.column(1), batch.column(2), batch.column(3)
+            shown = np.flatnonzero(np.diff(np.asarray(word.offsets)) | np.asarray(batch.column(4).to_numpy(zero_copy_only=False), bool))
+            edges = np.unique(np.r_[0, shown, batch.num_rows])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if batch.column(4)[a].as_py():
+                    words.clear()
+                words.add(word.slice(a, 1).flatten())
+                for x in long[a].as_py() or ():
+                    words.put(x["word"], _joined([words.ids(k) for k in x["pieces"]], book, ranks))
+                some = place.slice(a, b - a)
+                numbers = np.asarray(some.flatten())
+                ids, lens = words.flat[spread(words.start[numbers], words.stop[numbers])], words.stop[numbers] - words.start[numbers]
+                edge = np.asarray(some.offsets) - some.offsets[0].as_py()
+                edge = np.r_[0, np.cumsum(lens)][edge]
+                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids))]
                 if with_bytes:
-                    columns.append(pa.array([book.join(ids) for ids in found], pa.binary()))
+                    columns.append(book.rows(ids, edge))
                 yield pa.record_batch(columns, ["id", "ids", "bytes"][: len(columns)])
 
     return run
 
 
-def _ids_of(folded: pa.Array, longs: list[dict], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of each word, and all of them, from the folded pieces and the words too long to fold."""
-    words = [w.removesuffix(DONE) for w in folded.to_pylist()]
-    for x in longs or ():
-        words[x["at"]] = "".join(chr(FIRST + i) for i in merge_long(x["bytes"], ranks))
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    return lens, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32) - FIRST
+class _Words:
+    """The ids of every numbered word, end to end."""
+
+    def __init__(self):
+        self.flat, self.start, self.stop = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.n_ids = self.n_words = 0
+
+    def _append(self, ids: np.ndarray) -> int:
+        while self.n_ids + len(ids) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        at = self.n_ids
+        self.flat[at : at + len(ids)] = ids
+        self.n_ids += len(ids)
+        return at
+
+    def add(self, folded: pa.Array) -> None:
+        """The next words, as the fold left them."""
+        if not len(folded):
+            return
+        edges = np.frombuffer(folded.buffers()[1], np.int32)[folded.offset : folded.offset + len(folded) + 1]
+        data = np.frombuffer(folded.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        real = points != DONE
+        # Characters that begin before each byte, then those of them that are pieces.
+        edges = np.r_[0, np.cumsum(real)][np.r_[0, np.cumsum((data & 0xC0) != 0x80)][edges - edges[0]]]
+        at = self._append(ids_of(points[real]))
+        while self.n_words + len(folded) > len(self.start):
+            self.start, self.stop = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.stop))
+        self.start[self.n_words : self.n_words + len(folded)] = at + edges[:-1]
+        self.stop[self.n_words : self.n_words + len(folded)] = at + edges[1:]
+        self.n_words += len(folded)
+
+    def put(self, number: int, ids: np.ndarray) -> None:
+        self.start[number] = at = self._append(ids)
+        self.stop[number] = at + len(ids)
+
+    def ids(self, number: int) -> np.ndarray:
+        return self.flat[self.start[number] : self.stop[number]]
+
+
+def _joined(pieces: list[np.ndarray], book: Pieces, ranks: dict[bytes, int]) -> np.ndarray:
+    """The ids of a long word from those of its overlapping pieces: each goes on after a token that it shares with what
+    is there."""
+    width = np.diff(book.starts)
+    chosen, ends = pieces[0], np.cumsum(width[pieces[0]])
+    kept, base = [], 0  # what later pieces can't change, and the place where ``chosen`` begins
+    for k, ids in enumerate(pieces[1:], 1):
+        stops = k * PIECE_STEP + np.cumsum(width[ids])
+        # Tokens as pairs of places: the same start and the same end.
+        here, there = ends << 32 | (ends - width[chosen]), stops << 32 | (stops - width[ids])
+        shared, i, j = np.intersect1d(here, there, return_indices=True)
+        if not len(shared):
+            whole = b"".join([book.join(p)[: PIECE_STEP if n < len(pieces) - 1 else None] for n, p in enumerate(pieces)])
+            return np.array(merge_long(whole, ranks), np.int32)
+        kept.append(chosen[: i[0] + 1])
+        chosen, ends = ids[j[0] + 1 :], stops[j[0] + 1 :]
+    return np.concatenate([*kept, chosen])
 
 
 def spread(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -258,19 +362,29 @@ class Pieces:
     def join(self, ids: np.ndarray) -> bytes:
         return self.flat[spread(self.starts[ids], self.starts[ids + 1])].tobytes() if len(ids) else b""
 
+    def rows(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """A binary value for each range of ids between two edges."""
+        places = np.r_[0, np.cumsum(np.diff(self.starts)[ids])][edges].astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(places), pa.py_buffer(self.join(ids))])
+
+    def texts(self, words: list[bytes]) -> pa.Array:
+        """A text for each word, its bytes taken as ids."""
+        found = self.rows(np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum([0, *map(len, words)]))
+        return found.cast(pa.string())
+
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, ids array<int>)`` per row, with ``with_bytes`` the ids decoded again, ``bytes``, and the columns ``keep``.
 
     Null and empty texts get no ids. Rows with a null or repeated id are encoded like any other; other columns of
-    ``docs`` are ignored. Texts of any length are encoded whole. An empty table gives no rows.
+    ``docs`` are ignored. Texts and words of any length are encoded whole. An empty table gives no rows.
     """
     ranks = read_ranks(rank_file)
     one = F.col(id_col).cast("long").alias("id")
     rows = docs.select((F.struct(one, *keep) if keep else one).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    numbered = rows.mapInArrow(_number_words(pattern, ranks), f"id {kind}, place array<int>, word array<string>, long array<struct<at:int,bytes:binary>>, fresh boolean")
-    folded = numbered.select("id", "place", fold_merges(F.col("word"), ranks).alias("word"), "long", "fresh")
+    numbered = rows.mapInArrow(_number_words(pattern, ranks), f"id {kind}, place array<int>, word array<string>, long array<struct<word:int,pieces:array<int>>>, fresh boolean")
+    folded = numbered.select("id", "place", fold_merges(F.col("word"), rank_literal(docs.sparkSession, ranks)).alias("word"), "long", "fresh")
     found = folded.mapInArrow(_join_ids(ranks, with_bytes), f"id {kind}, ids array<int>" + ", bytes binary" * with_bytes)
     return found.select("id.id", *found.columns[1:], *[f"id.{c}" for c in keep]) if keep else found
 

@@ -79,7 +79,7 @@ MOVE, MARK = _split_tables()
 def char_classes() -> np.ndarray:
     """The class of every code point."""
     table = np.full(0x110000, OTHER, np.uint8)
-    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    points = np.r_[0:0xD800, 0xE000:0x110000].astype(np.uint32).tobytes().decode("utf-32-le")
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
         for m in regex.finditer(pattern, points):
             table[ord(points[m.start()]) : ord(points[m.end() - 1]) + 1] = kind
@@ -238,6 +238,25 @@ class MergeTransducer:
         return found
 
 
+#: The pattern that ``SPLIT`` stands for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def cut_words(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(data, first, stop, text)`` of the pattern's matches: places in the UTF-8 bytes, and the number of their text."""
+    stream = "\0".join([*texts, ""])
+    chars = np.frombuffer(stream.encode("utf-32-le"), np.uint32)
+    kinds = classes[chars]
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    kinds[ends] = END
+    starts = np.flatnonzero(split_marks(kinds)) if len(texts) else np.zeros(0, np.int64)
+    width = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+    offset = np.r_[0, np.cumsum(width)]
+    first, stop = offset[starts], offset[np.r_[starts[1:], len(chars)]] if len(starts) else starts
+    real = kinds[starts] != END
+    return np.frombuffer(stream.encode(), np.uint8), first[real], stop[real], np.searchsorted(ends, starts[real])
+
+
 _compiled: dict[str, tuple[Vocabulary, MergeTransducer, np.ndarray]] = {}
 
 
@@ -256,18 +275,8 @@ def count_tokens(texts: list[str | None], file: str) -> np.ndarray:
     parts, owner, size = [], [], 0
 
     def work() -> None:
-        chars = np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le"), np.uint32)
-        kinds = classes[chars]
-        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-        kinds[ends] = END
-        starts = np.flatnonzero(split_marks(kinds))
-        data = np.frombuffer("\0".join([*parts, ""]).encode(), np.uint8)
-        width = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
-        offset = np.r_[0, np.cumsum(width)]
-        first, stop = offset[starts], offset[np.r_[starts[1:], len(chars)]]
-        real = kinds[starts] != END
-        found = merge.counts(data, first[real], (stop - first)[real])
-        part = np.searchsorted(ends, starts[real])
+        data, first, stop, part = cut_words(parts, classes)
+        found = merge.counts(data, first, stop - first)
         np.add.at(total, np.array(owner)[part], found)
 
     for k, text in enumerate(texts):
