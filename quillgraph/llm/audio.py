@@ -3,7 +3,8 @@
 ``store`` writes a payload as the samples of a WAV file (8-bit PCM, one channel), losslessly. ``features`` reads the
 samples back from the stored file, resamples them by a polyphase filter, takes overlapped log-mel filterbanks and
 finds energy segments with hysteresis. Features are fixed-shape tensors, ``FRAMES`` x ``MELS`` values a clip (the last
-clip padded with the floor), each with its time span, in Arrow's fixed-size lists.
+clip padded with the floor), each with its time span. Spark has no tensor type, so they are stored as Arrow's own: a
+stream of its IPC format in a binary column, with a ``fixed_shape_tensor`` column beside the spans (``read_clips``).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Samples a second as stored, and after resampling by UP / DOWN.
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 2, 3
 #: Taps of each phase of the resampling filter.
 TAPS = 16
 #: Frame and hop in resampled samples; filters; frames of a clip; the log floor.
@@ -54,11 +55,11 @@ def read_back(media: bytes) -> tuple[bytes, int]:
 @lru_cache
 def resampler(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
     """Polyphase filter bank ``[phase, tap]`` of a windowed sinc, each phase of unit gain."""
-    reach = taps * max(up, down) // 2
+    reach = -(-taps * max(up, down) // (2 * up)) * up  # whole steps of the input to either side
     t = np.arange(-reach, reach + 1)
     cut = 1.0 / max(up, down)
     kernel = np.sinc(t * cut) * cut * np.hamming(len(t))
-    phases = np.zeros((up, -(-len(t) // up)))
+    phases = np.zeros((up, 2 * reach // up + 1))
     for p in range(up):
         phases[p, : len(kernel[p::up])] = kernel[p::up]
     return phases / phases.sum(axis=1, keepdims=True)
@@ -130,18 +131,36 @@ def features(media: bytes) -> dict:
         part = np.full((FRAMES, MELS), np.log(FLOOR))
         some = mel[k : k + FRAMES]
         part[: len(some)] = some
-        clips.append({"start_ms": ms(k), "end_ms": ms(k + len(some)), "tensor": part.astype(np.float32).ravel()})
+        clips.append((ms(k), ms(k + len(some)), part.astype(np.float32)))
     return {"clips": clips, "segments": [{"start_ms": ms(a), "end_ms": ms(b)} for a, b in segments(energy)]}
 
 
-#: A clip's tensor: FRAMES x MELS values in row order; the shape is the field's metadata, as Arrow's tensor type has it.
-TENSOR = pa.field("tensor", pa.list_(pa.float32(), FRAMES * MELS), metadata={"shape": f"[{FRAMES},{MELS}]"})
-CLIPS = pa.list_(pa.struct([pa.field("start_ms", pa.int64()), pa.field("end_ms", pa.int64()), TENSOR]))
+#: A clip's tensor, and the columns in which clips are stored.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS], dim_names=["frame", "mel"])
+CLIPS = pa.schema([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("tensor", TENSOR)])
+
+
+def write_clips(clips: list[tuple[int, int, np.ndarray]]) -> bytes:
+    """Clips (start, end, tensor) as an Arrow IPC stream."""
+    tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack([c[2] for c in clips]))
+    columns = [pa.array([c[0] for c in clips], pa.int64()), pa.array([c[1] for c in clips], pa.int64()), pa.ExtensionArray.from_storage(TENSOR, tensors.storage)]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, CLIPS) as stream:
+        stream.write_batch(pa.record_batch(columns, schema=CLIPS))
+    return out.getvalue().to_pybytes()
+
+
+def read_clips(stored: bytes) -> pa.Table:
+    """The table of clips: ``start_ms``, ``end_ms``, ``tensor`` of shape (FRAMES, MELS)."""
+    return pa.ipc.open_stream(stored).read_all()
+
+
 SPANS = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_bytes, media, clips, segments)`` per row: the WAV file, its clips' tensors and its energy segments.
+    """``(id, n_bytes, media, clips, spans, means, segments)`` per row: the WAV file; its clips' tensors as an Arrow IPC
+    stream (see ``read_clips``), with their time spans and mean values again as columns; and its energy segments.
 
     A null or empty text is stored as one unit of zeros. Equal texts give equal values: each is worked on alone.
     Null or repeated ids are kept, other columns ignored. An empty table gives no rows. Texts of any length are stored
@@ -155,17 +174,17 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 raw = [(t or "").encode() for t in part.column(1).to_pylist()]
                 media = [store(payload(r)) for r in raw]
                 found = [features(m) for m in media]
-                # Spark's Arrow reader takes lists of any size, so the fixed-size tensors are handed over as such.
-                clips = pa.array([f["clips"] for f in found], CLIPS).cast(PLAIN_CLIPS)
-                columns = [part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary()), clips, pa.array([f["segments"] for f in found], SPANS)]
-                yield pa.record_batch(columns, ["id", "n_bytes", "media", "clips", "segments"])
+                spans = [[{"start_ms": a, "end_ms": b} for a, b, _ in f["clips"]] for f in found]
+                means = [[round(float(c.mean(dtype=np.float64)), 3) for _, _, c in f["clips"]] for f in found]
+                columns = [part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary()), pa.array([write_clips(f["clips"]) for f in found], pa.binary())]
+                columns += [pa.array(spans, SPANS), pa.array(means, pa.list_(pa.float64())), pa.array([f["segments"] for f in found], SPANS)]
+                yield pa.record_batch(columns, ["id", "n_bytes", "media", "clips", "spans", "means", "segments"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    span = "start_ms: long, end_ms: long"
-    return rows.mapInArrow(run, f"id long, n_bytes long, media binary, clips array<struct<{span}, tensor: array<float>>>, segments array<struct<{span}>>")
+    span = "array<struct<start_ms: long, end_ms: long>>"
+    return rows.mapInArrow(run, f"id long, n_bytes long, media binary, clips binary, spans {span}, means array<double>, segments {span}")
 
 
-PLAIN_CLIPS = pa.list_(pa.struct([pa.field("start_ms", pa.int64()), pa.field("end_ms", pa.int64()), pa.field("tensor", pa.list_(pa.float32()))]))
 #: Bytes of a WAV file before its samples.
 HEADER = len(store(b""))
 
@@ -174,12 +193,10 @@ def digests(media: DataFrame) -> DataFrame:
     """Columns that pin a stored file down: payload read back from it, checksums, and the features in short."""
     stored = F.expr(f"substring(media, {HEADER + 1}, length(media) - {HEADER})")  # payloads are even, so no pad byte
     rows = media.withColumn("payload", stored)
-    # Tensors are summed to their clips' means, rounded so that the string doesn't hang on the last bits.
-    means = F.transform("clips", lambda c: F.round(F.aggregate(c["tensor"], F.lit(0.0), lambda a, x: a + x) / (FRAMES * MELS), 3))
     feature = F.concat(
-        F.lit(f"{FRAMES}x{MELS} clips="), F.size("clips"), F.lit(" segments="), F.size("segments"),
-        F.lit(" span_ms="), F.coalesce(F.element_at("clips", -1)["end_ms"], F.lit(0)),
-        F.lit(" means="), F.sha2(F.array_join(means.cast("array<string>"), ","), 256),
+        F.lit(f"{FRAMES}x{MELS} clips="), F.size("spans"), F.lit(" segments="), F.size("segments"),
+        F.lit(" span_ms="), F.coalesce(F.element_at("spans", -1)["end_ms"], F.lit(0)),
+        F.lit(" means="), F.sha2(F.array_join(F.col("means").cast("array<string>"), ","), 256),
     )
     return rows.select(
         F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),

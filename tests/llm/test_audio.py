@@ -15,14 +15,46 @@ def test_bytes_survive_the_round_trip(data):
     assert audio.read_back(audio.store(padded)) == (padded, audio.RATE)
 
 
-def test_resampling_keeps_a_low_tone_and_drops_a_high_one():
+@pytest.mark.parametrize("up, down", [(2, 3), (1, 2), (3, 2), (3, 4), (441, 640)])
+def test_resampling_keeps_a_low_tone_and_drops_a_high_one(up, down):
     t = np.arange(16_000) / 16_000
-    low, high = audio.resample(np.sin(2 * np.pi * 500 * t)), audio.resample(np.sin(2 * np.pi * 7000 * t))
-    assert len(low) == 8000
-    want = np.sin(2 * np.pi * 500 * np.arange(8000) / 8000)
-    assert np.abs(low - want)[100:-100].max() < 0.02 and np.abs(high)[100:-100].max() < 0.02
-    up = audio.resample(np.sin(2 * np.pi * 500 * t), 3, 2)
-    assert len(up) == 24_000 and np.abs(up - np.sin(2 * np.pi * 500 * np.arange(24_000) / 24_000))[100:-100].max() < 0.05
+    rate = 16_000 * up / down
+    low, high = audio.resample(np.sin(2 * np.pi * 500 * t), up, down), audio.resample(np.sin(2 * np.pi * 7000 * t), up, down)
+    assert len(low) == -(-16_000 * up // down)
+    want = np.sin(2 * np.pi * 500 * np.arange(len(low)) / rate)
+    assert np.abs(low - want)[100:-100].max() < 0.05 and (up > down or np.abs(high)[100:-100].max() < 0.05)
+
+
+def test_resampling_against_the_sum(up=audio.UP, down=audio.DOWN):
+    """Each output as the windowed sinc around its time, input by input."""
+    x = np.random.default_rng(1).normal(size=150)
+    got = audio.resample(x, up, down)
+    reach = -(-audio.TAPS * max(up, down) // (2 * up)) * up
+    window, cut = np.hamming(2 * reach + 1), 1 / max(up, down)
+    assert up > 1 and down > 1  # the query's filter has several phases
+    for n in range(len(got)):
+        weights = {m: np.sinc((n * down - m * up) * cut) * window[n * down - m * up + reach] for m in range(-80, 300) if abs(n * down - m * up) <= reach}
+        assert np.isclose(got[n], sum(w * x[m] for m, w in weights.items() if 0 <= m < len(x)) / sum(weights.values()), atol=1e-9)
+
+
+def test_log_mel_against_the_transform_by_definition():
+    x, rate = np.random.default_rng(2).normal(size=700), 10_000.0
+    got = audio.log_mel(x, rate)
+    k = np.arange(audio.FRAME // 2 + 1)[:, None]
+    for frame in range(len(got)):
+        part = np.zeros(audio.FRAME)
+        some = x[frame * audio.HOP : frame * audio.HOP + audio.FRAME]
+        part[: len(some)] = some
+        turned = (part * np.hanning(audio.FRAME) * np.exp(-2j * np.pi * k * np.arange(audio.FRAME) / audio.FRAME)).sum(axis=1)
+        mel = lambda hz: 2595 * np.log10(1 + hz / 700)
+        edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, mel(rate / 2), audio.MELS + 2)]
+        for j in range(audio.MELS):
+            total = 0.0
+            for bin_, power in enumerate(np.abs(turned) ** 2):
+                hz = bin_ * rate / audio.FRAME
+                total += power * max(0.0, min((hz - edges[j]) / (edges[j + 1] - edges[j]), (edges[j + 2] - hz) / (edges[j + 2] - edges[j + 1])))
+            assert np.isclose(got[frame, j], np.log(total + audio.FLOOR), atol=1e-6)
+    assert len(got) == 5
 
 
 def test_a_tone_peaks_in_its_filter():
@@ -50,11 +82,18 @@ def test_query_on_whole_table(spark):
         assert by_text.setdefault(texts[r.doc_id], r.feature) == r.feature
 
 
-def test_clips_cover_the_recording(spark):
+def test_clips_are_tensors_that_cover_the_recording(spark):
     docs = spark.createDataFrame([(None, None, "x"), (1, "", None), (1, "ab" * 40_000, None)], "doc_id long, text string, media string")
     rows = sorted(audio.media_columns(docs).collect(), key=lambda r: r.n_bytes)
-    assert [len(r.clips) for r in rows[:2]] == [1, 1] and rows[0].clips == rows[1].clips
-    clips = rows[2].clips
-    assert all(len(c.tensor) == audio.FRAMES * audio.MELS for c in clips)
-    assert all(a.end_ms == b.start_ms for a, b in zip(clips, clips[1:])) and abs(clips[-1].end_ms - 5000) < 40
+    tables = [audio.read_clips(bytes(r.clips)) for r in rows]
+    assert [t.num_rows for t in tables[:2]] == [1, 1] and rows[0].clips == rows[1].clips
+    last = tables[2]
+    assert last.schema.field("tensor").type.shape == [audio.FRAMES, audio.MELS]
+    tensors = last.column("tensor").combine_chunks().to_numpy_ndarray()
+    assert tensors.shape == (last.num_rows, audio.FRAMES, audio.MELS) and tensors.dtype == np.float32
+    want = audio.features(audio.store(audio.payload(b"ab" * 40_000)))["clips"]
+    assert all((a == b[2]).all() for a, b in zip(tensors, want))
+    starts, ends = last.column("start_ms").to_pylist(), last.column("end_ms").to_pylist()
+    assert [(s.start_ms, s.end_ms) for s in rows[2].spans] == list(zip(starts, ends)) and starts[1:] == ends[:-1] and abs(ends[-1] - 5000) < 40
+    assert np.allclose(rows[2].means, tensors.mean(axis=(1, 2)), atol=1e-3)
     assert audio.digests(audio.media_columns(docs.limit(0))).count() == 0
