@@ -1,10 +1,11 @@
 """Quality rules: text statistics in Spark SQL and a learned decision list over them.
 
 Sequential covering (in the manner of the published rule inducers): a rule, a conjunction of threshold conditions,
-is grown condition by condition on two thirds of the labelled rows for the gain in information about low quality,
-pruned from its end on the last third, and kept if it is precise there; the rows that it covers are set aside and the
-next rule is learned from the rest. The list is emitted as one ordered ``CASE WHEN`` expression. Everything on the
-main path is DataFrame and SQL functions; only counts come to the driver.
+is grown condition by condition on two thirds of the labelled rows for the gain in information about low quality. On
+the last third any condition is pruned that the rule is no worse without, and the rule is kept if it is precise there;
+the rows that it covers are set aside and the next rule is learned from the rest. A rule that is not kept makes way for
+the next best beginning. The list is emitted as one ordered ``CASE WHEN`` expression. Everything on the main path is
+DataFrame and SQL functions; only counts come to the driver, a histogram of every statistic by quality at a time.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table
+from .shared import Table, free_name
 
 GAP = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
 #: Labelled rows that a list is learned from at most: those of the smallest hashed ids.
 FIT_ROWS = 20_000
 #: Conditions a rule may have, rules a list may have, thresholds tried for each statistic.
-MOST_CONDITIONS, MOST_RULES, THRESHOLDS = 3, 8, 16
+MOST_CONDITIONS, MOST_RULES, THRESHOLDS = 3, 8, 24
+#: Rules that may fail before learning ends.
+MOST_FAILS = 6
 #: Share of low quality rows among those that a rule covers on the pruning rows, at least; and rows covered.
 LEAST_PRECISION, LEAST_COVER = 0.8, 10
 
@@ -74,19 +77,21 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A null text counts as one without words. Columns of ``docs`` with these names are replaced.
     """
+    docs = docs.drop(*[c for c in [*COUNTS, "base_failed"] if c != text_col])
+    kept_text, words = free_name(docs, "text_shown"), free_name(docs, "words_shown")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    kept = docs.withColumn("_text", text).withColumn("_words", words_of(F.col("_text")))
-    kept = kept.withColumn("n_words", F.size("_words").cast("long"))
-    kept = kept.withColumn("word_chars", F.char_length(F.array_join("_words", "")).cast("long"))
-    kept = kept.withColumn("n_symbols", F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"))
-    kept = kept.withColumn("n_upper", F.regexp_count("_text", F.lit("\\p{Lu}")).cast("long"))
-    kept = kept.withColumn("n_marks", F.regexp_count("_text", F.lit("[!?]")).cast("long"))
-    kept = kept.withColumn("n_distinct_words", F.size(F.array_distinct("_words")).cast("long"))
+    kept = docs.withColumn(kept_text, text).withColumn(words, words_of(F.col(kept_text)))
+    kept = kept.withColumn("n_words", F.size(words).cast("long"))
+    kept = kept.withColumn("word_chars", F.char_length(F.array_join(words, "")).cast("long"))
+    kept = kept.withColumn("n_symbols", F.regexp_count(kept_text, F.lit("[#*$%&|<>]")).cast("long"))
+    kept = kept.withColumn("n_upper", F.regexp_count(kept_text, F.lit("\\p{Lu}")).cast("long"))
+    kept = kept.withColumn("n_marks", F.regexp_count(kept_text, F.lit("[!?]")).cast("long"))
+    kept = kept.withColumn("n_distinct_words", F.size(F.array_distinct(words)).cast("long"))
     kept = kept.withColumn("n_dup_lines", _bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
-    kept = kept.withColumn("n_repeat_words", repeated_words(F.col("_words")))
+    kept = kept.withColumn("n_repeat_words", repeated_words(F.col(words)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return kept.withColumn("base_failed", failed).drop("_text", "_words")
+    return kept.withColumn("base_failed", failed).drop(kept_text, words)
 
 
 #: What rules may look at, as ratios that don't depend on a text's length, and the length itself.
@@ -157,53 +162,109 @@ def _worth(low: int, good: int) -> float:
     return (low - good) / (low + good) if low + good else -1.0
 
 
+def tightened(rule: list[Condition]) -> list[Condition]:
+    """The rule without conditions that another one implies."""
+    best: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        old = best.get((c.feature, c.above))
+        if old is None or (c.threshold > old.threshold if c.above else c.threshold < old.threshold):
+            best[c.feature, c.above] = c
+    return list(best.values())
+
+
+class _Counter:
+    """Labelled rows as bins of each statistic, between the thresholds that are tried."""
+
+    def __init__(self, labelled: DataFrame):
+        steps = [k / (THRESHOLDS + 1) for k in range(1, THRESHOLDS + 1)]
+        grow = labelled.where("fold < 2")
+        quantiles = lambda e, c: F.percentile_approx(F.when(c, F.expr(e)), steps, 10_000)
+        low = F.col("quality") == 0
+        marks = grow.agg(*[quantiles(e, c).alias(f"{f}_{k}") for f, e in FEATURES.items() for k, c in enumerate((low, ~low))]).first()
+        self.thresholds = {f: sorted({float(t) for k in (0, 1) for t in marks[f"{f}_{k}"] or ()}) for f in FEATURES}
+        # A bin's number: how many thresholds the value is above.
+        bin_of = lambda f, value: F.size(F.filter(F.array(*map(F.lit, self.thresholds[f] or [0.0])), lambda t: t < value)).alias(f"bin_{f}")
+        bins = [bin_of(f, F.expr(e)) for f, e in FEATURES.items()]
+        self.table = Table(labelled.select("*", *bins), "bins")
+
+    def histogram(self, rows: DataFrame) -> dict[str, dict[int, list[int]]]:
+        """Low and good rows to grow on, by statistic and bin."""
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"bin_{f}").alias("b")) for f in FEATURES])).alias("x")
+        found: dict[str, dict[int, list[int]]] = {f: {} for f in FEATURES}
+        for r in rows.where("fold < 2").select("quality", pairs).groupBy("x.f", "x.b", "quality").count().collect():
+            found[r["f"]].setdefault(r["b"], [0, 0])[r["quality"]] += r["count"]
+        return found
+
+    def candidates(self, rows: DataFrame) -> tuple[list[tuple[Condition, int, int]], int, int]:
+        """Every condition with the low and good rows that meet it; and the low and good rows."""
+        found, total = [], [0, 0]
+        for f, bins in self.histogram(rows).items():
+            total = [sum(n[q] for n in bins.values()) for q in (0, 1)]
+            below = [0, 0]
+            for k, t in enumerate(self.thresholds[f]):
+                below = [below[q] + bins.get(k, (0, 0))[q] for q in (0, 1)]  # values up to threshold k are in bins 0..k
+                found.append((Condition(f, True, t), total[0] - below[0], total[1] - below[1]))
+                found.append((Condition(f, False, t), below[0], below[1]))
+        return found, total[0], total[1]
+
+
 def learn(labelled: DataFrame) -> DecisionList:
     """A list from rows of the statistics with ``quality`` 0 or 1 and ``fold`` (0, 1 to grow on, 2 to prune on).
 
     No rows, or none of low quality: an empty list, which keeps everything.
     """
+    counter = _Counter(labelled)
     rules: list[tuple[Condition, ...]] = []
-    rest = labelled
-    while len(rules) < MOST_RULES:
-        grow, prune = rest.where("fold < 2"), rest.where("fold = 2")
+    rest, fails, banned = counter.table.df, 0, set()
+    bits = lambda p, n: math.log2(p / (p + n)) if p else 0.0
+    while len(rules) < MOST_RULES and fails < MOST_FAILS:
         rule: list[Condition] = []
-        covered = _counts(grow, [F.lit(True)])[0]
-        while len(rule) < MOST_CONDITIONS and covered[0] and covered[1]:
-            inside = grow.where(_all(rule))
-            steps = [k / (THRESHOLDS + 1) for k in range(1, THRESHOLDS + 1)]
-            marks = inside.agg(*[F.percentile_approx(F.expr(e), steps, 10_000).alias(f) for f, e in FEATURES.items()]).first()
-            tried = [Condition(f, up, float(t)) for f in FEATURES for t in sorted(set(marks[f] or ())) for up in (True, False)]
-            found = _counts(inside, [c.column() for c in tried])
-            bits = lambda p, n: math.log2(p / (p + n)) if p else 0.0
-            gains = [p * (bits(p, n) - bits(*covered)) if p >= LEAST_COVER else 0.0 for p, n in found]
-            if not gains or max(gains) <= 0:
+        first = None
+        for _ in range(2 * MOST_CONDITIONS):
+            tried, low, good = counter.candidates(rest.where(_all(rule)))
+            if not (low and good):
+                break
+            gains = [(p * (bits(p, n) - bits(low, good)), k) for k, (c, p, n) in enumerate(tried) if p >= LEAST_COVER and (rule or c not in banned)]
+            gain, k = max(gains, key=lambda g: (g[0], -g[1]), default=(0.0, 0))
+            grown = tightened([*rule, tried[k][0]]) if gain > 0 else rule
+            if gain <= 0 or len(grown) > MOST_CONDITIONS:
                 break
-            best = gains.index(max(gains))
-            rule.append(tried[best])
-            covered = found[best]
+            first = first or tried[k][0]
+            rule = grown
         if not rule:
             break
-        ends = _counts(prune, [_all(rule[:k]) for k in range(1, len(rule) + 1)])
-        worth = [_worth(*x) for x in ends]
-        k = worth.index(max(worth))
-        low, good = ends[k]
+        # Conditions that the rule is no worse without, one after the other.
+        prune = rest.where("fold = 2")
+        (now,) = _counts(prune, [_all(rule)])
+        while len(rule) > 1:
+            shorter = [[c for c in rule if c is not gone] for gone in rule]
+            counts = _counts(prune, [_all(r) for r in shorter])
+            best = max(range(len(shorter)), key=lambda k: _worth(*counts[k]))
+            if _worth(*counts[best]) < _worth(*now):
+                break
+            rule, now = shorter[best], counts[best]
+        low, good = now
         if low + good < LEAST_COVER // 2 or low < LEAST_PRECISION * (low + good):
-            break
-        rules.append(tuple(rule[: k + 1]))
-        rest = rest.where(~_all(rules[-1]))
+            banned.add(first)
+            fails += 1
+            continue
+        rules.append(tuple(rule))
+        rest = rest.where(~_all(rule))
+    counter.table.drop()
     return DecisionList(tuple(rules))
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Statistics of the labelled texts, at most ``fit_rows`` of them, with ``quality`` and ``fold``.
+    """Statistics of the labelled texts that don't fail the base rules, at most ``fit_rows`` of them, with ``quality`` and ``fold``.
 
     The labels are a bounded sample (smallest hashed ids first), so their side of the join may be broadcast.
     """
     chosen = labels.where("quality in (0, 1)").groupBy(id_col).agg(F.min("quality").alias("_quality"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("fit"), id_col), id_col).limit(fit_rows).withColumnRenamed(id_col, "_id")
+    # Two numbers a row and at most fit_rows of them.
     joined = docs.select(F.col(id_col).alias("_key"), F.col("text").alias("text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id"))
     stats = statistics(joined, "text").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(3)).cast("int"))
-    return stats.select(*COUNTS, F.col("_quality").alias("quality"), "fold")
+    return stats.where("NOT base_failed").select(*COUNTS, F.col("_quality").alias("quality"), "fold")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DecisionList]:

@@ -48,6 +48,45 @@ def test_query_matches_brute_force_and_learns(spark):
     assert sum(low) <= 0.35 * len(low)  # few labels at this size
 
 
+def test_precision_and_recall_on_labels_that_were_not_learned_from(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    labelled = docs.join(labels.select("doc_id", "quality"), "doc_id")
+    table = rules.Table(labelled, "labelled")
+    found, learned = rules.quality(table.df.select("doc_id", "text"), table.df.select("doc_id", "quality").where("doc_id % 5 <> 0"))
+    rows = found.join(table.df.select("doc_id", "quality"), "doc_id").where("doc_id % 5 = 0 AND NOT base_failed").select("kept", "quality").collect()
+    rejected = [r.quality for r in rows if not r.kept]
+    low = sum(r.quality == 0 for r in rows)
+    assert len(rows) > 300 and low > 30
+    assert rejected.count(0) >= 0.85 * len(rejected) and rejected.count(0) >= 0.5 * low, (str(learned), len(rejected), rejected.count(0), low)
+    for rule in learned.rules:  # no condition that another one implies
+        assert len({(c.feature, c.above) for c in rule}) == len(rule)
+
+
+def test_counts_of_conditions_are_those_of_a_scan(spark):
+    rng = random.Random(9)
+    rows = [(*[rng.randrange(1, 60) for _ in range(8)], rng.randrange(2), k % 3) for k in range(400)]
+    names = [*rules.COUNTS, "quality", "fold"]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} {'int' if n in ('quality', 'fold') else 'long'}" for n in names))
+    counter = rules._Counter(frame)
+    tried, low, good = counter.candidates(counter.table.df.where("n_words > 20"))
+    some = frame.where("fold < 2 AND n_words > 20")
+    assert (low, good) == rules._counts(some, [F.lit(True)])[0]
+    assert [x[1:] for x in tried[::9]] == rules._counts(some, [c.column() for c, _, _ in tried[::9]])
+
+
+def test_implied_conditions_are_merged():
+    c = rules.Condition
+    assert rules.tightened([c("a", True, 5.5), c("b", False, 2.0), c("a", True, 5.7), c("b", False, 3.0), c("a", False, 9.0)]) == [c("a", True, 5.7), c("b", False, 2.0), c("a", False, 9.0)]
+
+
+def test_columns_may_have_any_names(spark):
+    names = ["_text", "_words", "text_shown", "Words_Shown", "kept", "base_failed"]
+    docs = spark.createDataFrame([(1, "a b\na b", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    (r,) = rules.statistics(docs).collect()
+    assert [r[n] for n in names[:5]] == names[:5] and r.base_failed is True and r.n_dup_lines == 1
+
+
 def test_list_covers_rule_by_rule(spark):
     rows = []
     for k in range(1200):
