@@ -15,13 +15,14 @@ def brute(text, least=0.8):
     """Templates of which some span of the allowed length contains enough distinct shingles."""
     words = licenses.words_of(text or "")
     found = set()
-    for name, template in licenses.TEMPLATES.items():
+    for name, template in (licenses.TEMPLATES | licenses.SHORT_TEMPLATES).items():
         t = licenses.words_of(template)
-        want = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+        n = min(5, len(t))  # a template shorter than a shingle is one of its own length
+        want = {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
         span = max(int(len(t) * licenses.STRETCH) + 1, len(t))
         for a in range(max(1, len(words) - span + 1)):
             part = words[a : a + span]
-            if len({tuple(part[i : i + 5]) for i in range(len(part) - 4)} & want) >= least * len(want):
+            if len({tuple(part[i : i + n]) for i in range(len(part) - n + 1)} & want) >= least * len(want):
                 found.add(name)
                 break
     return found
