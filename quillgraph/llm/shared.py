@@ -6,22 +6,44 @@ executor costs only the tasks that read a finished table, never the work that ma
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine), a folder of our own."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a folder of our own on one machine, an error on several
+    (each would write to its own disk)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, or a name like it that no column of ``df`` has (names are compared without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps are deleted when the driver collects its garbage; after a large step, ask for it."""
+    for _ in range(2):  # the first round lets go of what Python holds, the second of what that held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 class Table:
     """A written intermediate: ``df`` reads it, ``drop`` deletes its files once nothing needs them."""
 
@@ -37,6 +59,70 @@ class Table:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Forest:
+    """Union-find over rows 0..n-1 as arrays; ``kept`` are the links that joined two trees."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.kept: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Links; those within a tree are passed over."""
+        apart = self.root[left] != self.root[right]
+        for a, b in zip(left[apart].tolist(), right[apart].tolist()):
+            x, y = self.find(a), self.find(b)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                self.kept.append((a, b))
+        if apart.any():  # point every row at its root again, so that later links within a tree are seen at once
+            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = up
+
+
+def stars(pairs) -> list[tuple[int, int]]:
+    """Each member of what the pairs connect with its smallest member: short ways, so that components settle in few rounds."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [(find(x), x) for x in list(root) if find(x) != x]
+
+
+def link_by_offset(group: np.ndarray, near, most: int | None = None) -> Forest:
+    """A spanning forest of the near pairs among rows of the same group, rows sorted by group.
+
+    Offset by offset, row i against row i + k for every row at once, as long as some group is longer than k (or up to
+    ``most``); pairs that are connected already are not compared. ``near(a, b)``: which of the pairs are near.
+    """
+    n, forest = len(group), Forest(len(group))
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
+    left_of = np.repeat(np.r_[start[1:], n], np.diff(np.r_[start, n])) - np.arange(n)  # rows of the group from here on
+    rows, k = np.arange(n), 1
+    while most is None or k <= most:
+        rows = rows[left_of[rows] > k]
+        if not len(rows):
+            break
+        some = rows[forest.root[rows] != forest.root[rows + k]]
+        if len(some) and (close := near(some, some + k)).any():
+            forest.join(some[close], some[close] + k)
+        k += 1
+    return forest
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and return a DataFrame that reads it."""
     return Table(df, name).df

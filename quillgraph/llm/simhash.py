@@ -8,7 +8,7 @@
    more than ``max_bits`` (the triangle inequality); the survivors are verified bit by bit.
 3. ``components``: classes of linked fingerprints by distributed union-find.
 
-A bucket emits a spanning forest of its verified links, never all of its pairs, and a bucket above ``BLOCK`` rows is
+A bucket emits one row for each fingerprint that its verified links connect to another, never all of its pairs, and a bucket above ``BLOCK`` rows is
 dealt out as blocks (chunk i against chunk j), so that no task holds more than two chunks of it.
 """
 
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table, connected_components
+from .shared import Table, connected_components, link_by_offset, stars
 
 SEED = 42
 #: Reference fingerprints; any fixed spread of bits serves, so they come from a rule.
@@ -94,53 +94,24 @@ def _pivot_table():
     return packed
 
 
-def _forest(links: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among rows 0..n-1."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for left, right in links:
-        for a, b in zip(left.tolist(), right.tolist()):
-            if (x := find(a)) != (y := find(b)):
-                root[max(x, y)] = min(x, y)
-                kept.append((a, b))
-    return kept
+def _block_links(fp: np.ndarray, table: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """The rows of the same group that verified links connect, each with the first of them; rows sorted by group.
 
+    Rows of a block of two chunks (side 0 and 1) are compared across sides only. A pair whose distances to one pivot
+    differ by more than ``max_bits`` is discarded; the others are verified bit by bit.
+    """
 
-def _block_links(fp: np.ndarray, table: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int):
-    """Verified links among neighbouring rows of the same group, rows sorted by group.
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = (side[a] < 0) | (side[a] != side[b])
+        found[found] = np.abs(table[a[found]] - table[b[found]]).max(axis=1, initial=0) <= max_bits
+        found[found] = np.bitwise_count(fp[a[found]] ^ fp[b[found]]) <= max_bits
+        return found
 
-    Offset by offset: row i against row i + k for every row at once, as long as some group is longer than k. Rows of
-    a block of two chunks (side 0 and 1) are compared across sides only.
-    """
-    n, links = len(fp), []
-    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    left_of = np.repeat(np.r_[start[1:], n], np.diff(np.r_[start, n])) - np.arange(n)  # rows of the group from here on
-    rows = np.arange(n)
-    k = 1
-    while True:
-        rows = rows[left_of[rows] > k]
-        if not len(rows):
-            return links
-        other = rows + k
-        near = (side[rows] < 0) | (side[rows] != side[other])
-        a, b = rows[near], other[near]
-        apart = np.abs(table[a] - table[b]).max(axis=1, initial=0)
-        a, b = a[apart <= max_bits], b[apart <= max_bits]
-        close = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
-        if close.any():
-            links.append((a[close], b[close]))
-        k += 1
+    return stars(link_by_offset(group, near).kept)
 
 
 def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Spanning links ``(src, dst)`` among the distinct ``fp`` whose Hamming distance is at most ``max_bits``."""
+    """``(src, dst)`` that connect the distinct ``fp`` of which Hamming distances of at most ``max_bits`` make chains."""
     spark = distinct.sparkSession
     tables = _pivot_table()
     rows = distinct.select("fp", tables[0].alias("p0"), tables[1].alias("p1"), F.explode(F.array(*_segment_keys(max_bits))).alias("key"))
@@ -156,7 +127,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
         group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])])
         table = np.concatenate([p0.view(np.uint8).reshape(-1, 8), p1.view(np.uint8).reshape(-1, 8)], axis=1).astype(np.int8)
         side = np.where(ci == cj, -1, c)
-        kept = _forest(_block_links(fp.view(np.uint64), table, group, side, max_bits), len(fp))
+        kept = _block_links(fp.view(np.uint64), table, group, side, max_bits)
         a, b = np.array(kept, dtype=np.int64).reshape(-1, 2).T
         return pa.record_batch([pa.array(fp[a]), pa.array(fp[b])], ["src", "dst"])
 
@@ -180,12 +151,17 @@ def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``fingerprints`` with ``root``, the class's smallest fingerprint, and ``component_id``, its smallest id."""
-    marked = Table(fingerprints(docs, id_col, text_col, shingle), "fingerprints").df
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = connected_components(near_links(distinct.select("fp"), max_bits))
-    found = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = found.groupBy("root").agg(F.min("low").alias("component_id"))
-    return marked.join(found.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+    marked = Table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = Table(marked.df.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    roots = Table(connected_components(near_links(distinct.df.select("fp"), max_bits)), "roots")
+    # What is joined by fingerprint or by root is written out first: Spark then splits the rows of a common one.
+    grouped = Table(distinct.df.join(roots.df, F.col("fp") == F.col("node")).select("fp", "low", "root"), "grouped")
+    lowest = Table(grouped.df.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    alone = distinct.df.join(roots.df, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("fp").alias("root"), F.col("low").alias("component_id"))
+    named = Table(grouped.df.join(lowest.df, "root").select("fp", "root", "component_id").unionByName(alone), "named")
+    for table in (distinct, roots, grouped, lowest):
+        table.drop()
+    return marked.df.join(named.df, "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
