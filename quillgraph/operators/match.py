@@ -65,8 +65,8 @@ class Match:
         """Computed columns beside the variables; ``m.df.<name>`` refers to them."""
         return self._with(self.df.select("*", *[f(self).alias(name) for name, f in columns.items()]))
 
-    def joined(self, rows: DataFrame, on: str, how: str = "left") -> Match:
-        """Rows of another plan, joined by a variable's ``<var>__<property>`` column that they have too."""
+    def joined(self, rows: DataFrame, on: str | list[str], how: str = "left") -> Match:
+        """Rows of another plan, joined by ``<var>__<property>`` columns that they have too."""
         return self._with(self.df.join(rows, on, how))
 
     def again(self, var: str, label: str, where: Callable[[DataFrame], Column] | None = None, **props) -> Match:

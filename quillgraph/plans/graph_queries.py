@@ -213,10 +213,11 @@ def named_relationship(spark, sf_dir):
 JOIN lineitem ON l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) ON l_partkey = p JOIN supplier ON s = s_suppkey
 WHERE s_nationkey = n_nationkey AND o_orderstatus = 'P'""")
 def bound_end(spark, sf_dir):
-    """Two branches that must meet in the same nation."""
-    _, m = start(spark, sf_dir)
-    m = m.node("o", "order", o_orderstatus="P").hop("o", "placedBy", "c").hop("c", "inNation", "n").hop("o", "contains", "p", check=False).hop("p", "suppliedBy", "s").hop("s", "locatedIn", "n")
-    return m.select(distinct=True, order="o.id")
+    """Two branches that must meet in the same nation: each part's nations are made distinct before they meet."""
+    g, m = start(spark, sf_dir)
+    nations = M.Match(g).node("s", "supplier").hop("s", "suppliedBy", "p", "in").hop("s", "locatedIn", "n").df.select("p__id", "n__id").distinct()
+    m = m.node("o", "order", o_orderstatus="P").hop("o", "placedBy", "c").hop("c", "inNation", "n").hop("o", "contains", "p", check=False)
+    return m.joined(nations, ["p__id", "n__id"], "left_semi").select(distinct=True, order="o.id")
 
 
 @query("""SELECT s_suppkey AS supplier, max(cust) AS customers, max(ord) AS orders FROM (SELECT s_suppkey, c.n AS cust, 0 AS ord FROM supplier LEFT JOIN
