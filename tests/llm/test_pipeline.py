@@ -62,6 +62,24 @@ def test_every_class_keeps_one_document(spark):
     assert got == [("3", 3), ("5", 4), ("7", 5), ("7", 6), ("8", 7), ("None", 0), ("None", 1), ("None", 2)]
 
 
+def test_stages_keep_any_columns_and_whole_texts(spark):
+    """Columns with the names that the operators use inside, maps, and a very long text."""
+    names = ["root", "id", "key", "row_key", "source_", "place", "text_key", "lang_pred", "Score", "n_lines", "mix_slot", "order", "doc", "mark", "n"]
+    long = "\n".join(f"zeile {k} und noch {k * k * 7919 % 100_003} {k ** 3} worte {k * 31 % 977} davon" for k in range(1500))
+    rows = [(k, t, "de", "ab"[k % 2], len(t), *names, {"m": k}) for k, t in enumerate([long, "ein kurzer text mit worten", "noch ein anderer kurzer text hier", "ein kurzer text mit worten"])]
+    docs = spark.createDataFrame(rows, SCHEMA + ", " + ", ".join(f"{n} string" for n in names) + ", extra map<string,int>")
+    for number, (_, f) in enumerate(corpus_pipeline.STAGES[:4]):
+        more = docs.columns
+        docs = materialize(f(spark, docs, ""), f"wide{number}")
+        assert docs.columns == more
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {0, 1, 2, 3} and all(got[k].extra == {"m": k} and all(got[k][n] == n for n in names) for k in got)
+    assert got[0].text.startswith("zeile 0 und") and got[3].text == ""
+    encoded = {r.doc_id: r for r in stage("BPE encoding")(spark, docs, "").collect()}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert all(list(encoded[k].ids) == library.encode_ordinary(got[k].text) for k in got)
+
+
 def test_run_returns_places_that_outlive_rereading(spark, tmp_path, monkeypatch):
     """Several files of different sizes: read again, they are not in the order of the mixture."""
     docs = spark.createDataFrame([(k, f"text {k} " * (1 + k % 9), "en", "abc"[k % 7 % 3], 9) for k in range(700)], SCHEMA)
