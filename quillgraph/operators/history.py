@@ -69,20 +69,15 @@ def rejected(events: DataFrame, definition: HistoryDefinition) -> DataFrame:
     return events.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
-def fold(events: DataFrame, definition: HistoryDefinition) -> DataFrame:
-    """``(key, columns.., projection_seq)``: the history rows after all sound events.
-
-    Per column the value of the last event that sets it, if no clearing event comes at or after it: two maxima per
-    key, combined on the map side, so a key with very many events is never gathered or sorted.
-    """
+def _maxima(events: DataFrame, definition: HistoryDefinition) -> DataFrame:
+    """Per key and column the last event that sets it and the last that clears it, and the last sequence of all."""
     key = at_path(definition.key)
-    sound = F.col("seq") > 0
     bad = F.lit(False)
     for c in definition.columns:
         if c.mapping:
             bad = bad | (is_set(c.path) & _lookup(c).isNull())
-    rows = events.where(sound & key.isNotNull() & (key != "") & ~bad).withColumn("_key", key)
-    folded, shown = [], []
+    rows = events.where((F.col("seq") > 0) & key.isNotNull() & (key != "") & ~bad).withColumn("_key", key)
+    folded = []
     for c in definition.columns:
         kind = F.col("event_type")
         if c.when:
@@ -94,6 +89,33 @@ def fold(events: DataFrame, definition: HistoryDefinition) -> DataFrame:
         clears = kind.isin(*c.clear_on) if c.clear_on else F.lit(False)
         folded.append(F.max(F.when(there & ~clears, F.struct(F.col("seq").alias("s"), value.alias("v")))).alias(f"_set_{c.name}"))
         folded.append(F.max(F.when(clears, F.col("seq"))).alias(f"_clear_{c.name}"))
-        keeps = F.col(f"_clear_{c.name}").isNull() | (F.col(f"_set_{c.name}.s") > F.col(f"_clear_{c.name}"))
-        shown.append(F.when(keeps, F.col(f"_set_{c.name}.v")).alias(c.name))
-    return rows.groupBy("_key").agg(*folded, F.max("seq").alias("projection_seq")).select(F.col("_key").alias("key"), *shown, "projection_seq")
+    return rows.groupBy("_key").agg(*folded, F.max("seq").alias("projection_seq"))
+
+
+def _value(name: str, before: Column) -> Column:
+    """A column's value: the last one set if nothing clears it at or after that, else null if it was cleared, else ``before``."""
+    last, cleared = F.col(f"_set_{name}"), F.col(f"_clear_{name}")
+    keeps = cleared.isNull() | (last["s"] > cleared)
+    return F.when(last.isNotNull() & keeps, last["v"]).when(cleared.isNull(), before)
+
+
+def fold(events: DataFrame, definition: HistoryDefinition) -> DataFrame:
+    """``(key, columns.., projection_seq)``: the history rows after all sound events.
+
+    Per column the value of the last event that sets it, if no clearing event comes at or after it: two maxima per
+    key, combined on the map side, so a key with very many events is never gathered or sorted.
+    """
+    none = F.lit(None).cast("string")
+    return _maxima(events, definition).select(F.col("_key").alias("key"), *[_value(c.name, none).alias(c.name) for c in definition.columns], "projection_seq")
+
+
+def fold_into(stored: DataFrame, events: DataFrame, definition: HistoryDefinition) -> DataFrame:
+    """``stored`` history rows after more events: columns that these neither set nor clear keep what is stored; events at or
+    before a row's sequence are not folded again."""
+    key = at_path(definition.key)
+    seen = stored.select(F.col("key").alias("_known"), F.col("projection_seq").alias("_seen"))
+    fresh = events.join(seen, key == F.col("_known"), "left").where(F.col("_seen").isNull() | (F.col("seq") > F.col("_seen"))).select(*events.columns)
+    old = stored.select("key", *[F.col(c.name).alias(f"_old_{c.name}") for c in definition.columns], F.col("projection_seq").alias("_old_seq"))
+    both = old.join(_maxima(fresh, definition), F.col("key") == F.col("_key"), "full_outer")
+    shown = [_value(c.name, F.col(f"_old_{c.name}")).alias(c.name) for c in definition.columns]
+    return both.select(F.coalesce("key", "_key").alias("key"), *shown, F.coalesce("projection_seq", "_old_seq").alias("projection_seq"))

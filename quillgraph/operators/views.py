@@ -129,6 +129,13 @@ def provenance(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return each
 
 
-def page(rows: DataFrame, key: str, cursor: str | None, size: int) -> DataFrame:
-    """A page in key order after ``cursor``."""
-    return (rows if cursor is None else rows.where(F.col(key) > cursor)).orderBy(key).limit(size)
+def page(rows: DataFrame, key: str, cursor: str | None, size: int, prefix: str = "") -> DataFrame:
+    """A page in key order after ``cursor``, of the keys that begin with ``prefix``."""
+    held = rows.where(F.col(key).startswith(prefix)) if prefix else rows
+    return (held if cursor is None else held.where(F.col(key) > cursor)).orderBy(key).limit(size)
+
+
+def at_keys(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``(key, row)`` for every wanted key, once; ``row`` is null where there is none."""
+    held = rows.select(F.col(key).alias("_key"), F.struct(*rows.columns).alias("row"))
+    return wanted.select(key).distinct().join(held, F.col(key) == F.col("_key"), "left").select(key, "row")

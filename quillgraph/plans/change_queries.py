@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import authz, changes, convergence, mutations, output, views
+from ..operators import authz, changes, convergence, history, mutations, output, views
 from ..operators import match as M
 from ..sources.graph import class_authority, vertex_key, warehouse_graph
 from .define import query
-from .view_queries import table
+from .view_queries import FLOW, history_events, table
 
 
 def change_log(spark, sf_dir):
@@ -381,3 +381,28 @@ def truth_of_lists(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     even = F.when(F.col("c_custkey") % 2 == 0, F.lit(True))
     return c.select(F.col("c_custkey").alias("id"), V.both(even, F.col("c_acctbal") > 0).alias("both"), V.either(even, F.col("c_mktsegment") == "BUILDING").alias("either"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS last_type, upper(arg_max(event_type, event_id)) AS status,
+arg_max(json_extract_string(props, '$.k'), event_id) FILTER (json_extract_string(props, '$.k') IS NOT NULL) AS k,
+CASE WHEN max(CASE WHEN event_type = 'purchase' THEN event_id END) > coalesce(max(CASE WHEN event_type = 'error' THEN event_id END), -1) THEN 'yes' END AS buyer,
+max(event_id) + 1 AS projection_seq FROM events GROUP BY user_id""")
+def history_merge(spark, sf_dir):
+    """History rows of an earlier part of the stream, taken further by all of it: what was folded isn't folded again."""
+    e = history_events(spark, sf_dir)
+    early = e.where("seq % 7 < 5").groupBy("target_key").agg(F.max("seq").alias("upto"))
+    stored = history.fold(e.join(early, "target_key").where(F.col("seq") <= F.col("upto") / 2).select(*e.columns), FLOW)
+    return history.fold_into(stored, e, FLOW)
+
+
+@query("SELECT c_name AS name FROM customer WHERE c_name LIKE 'Customer#0000001%' AND c_name > 'Customer#000000104' ORDER BY c_name LIMIT 5")
+def prefix_page(spark, sf_dir):
+    """A page of five keys with a prefix, after a cursor (the limit is the feature)."""
+    return views.page(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")), "name", "Customer#000000104", 5, "Customer#0000001")
+
+
+@query("SELECT o_custkey AS id, c_name AS name FROM (SELECT DISTINCT o_custkey + 100 AS o_custkey FROM orders) LEFT JOIN customer ON c_custkey = o_custkey")
+def multi_get(spark, sf_dir):
+    """Many keys at once; those that aren't there have a null row."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return views.at_keys(c, "id", table(spark, sf_dir, "orders").select((F.col("o_custkey") + 100).alias("id"))).select("id", "row.name")

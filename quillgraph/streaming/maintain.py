@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.views import guarded_merge, retractions
 
 
-class SnapshotTable:
+class Sink(ABC):
+    """Where a view's keyed rows go. A batch's number is its version: a batch that comes again changes nothing."""
+
+    @abstractmethod
+    def upsert(self, rows: DataFrame, version: int) -> None:
+        """Rows with ``projection_seq``; what is stored and newer stays."""
+
+    @abstractmethod
+    def delete(self, gone: DataFrame, version: int) -> None:
+        """Keys with ``projection_seq``; they are kept as tombstones."""
+
+    @abstractmethod
+    def probe(self, wanted: DataFrame) -> DataFrame:
+        """The stored rows of some keys."""
+
+    def close(self) -> None:  # noqa: B027  (most sinks have nothing to close)
+        """After the last batch."""
+
+
+def change_stream(spark: SparkSession, path: str, labels: list[str] | None = None) -> DataFrame:
+    """A stream of changes (key, label, seq, is_deleted) from a folder of Parquet files; those of other types than ``labels``
+    are filtered out at the files."""
+    rows = spark.readStream.schema("key string, label string, seq long, is_deleted boolean").parquet(path)
+    return rows if labels is None else rows.where(F.col("label").isin(*labels))
+
+
+class SnapshotTable(Sink):
     """A view in versions, in ``buckets`` by the hash of its keys. A merge reads and writes only the buckets that its rows
     fall into; a version is a small list that says which version last wrote each bucket. Readers see whole versions,
     and a batch that is replayed after a failure writes the same version again. The last ``keep`` versions can be read;
@@ -77,6 +104,18 @@ class SnapshotTable:
             if name.startswith("v") and int(name[1:]) not in needed:
                 self._delete(name)
 
+    def upsert(self, rows: DataFrame, version: int) -> None:
+        self.merge(rows.withColumn("is_deleted", F.lit(False)), version)
+
+    def delete(self, gone: DataFrame, version: int) -> None:
+        kinds = {f.name: f.dataType for f in self.schema}
+        rows = gone.withColumn("is_deleted", F.lit(True))
+        self.merge(rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in self.schema.names]), version)
+
+    def probe(self, wanted: DataFrame) -> DataFrame:
+        touched = {r["b"] for r in wanted.select(self._bucket().alias("b")).distinct().collect()}
+        return self.read(only=touched).join(wanted.select(*self.keys).distinct(), self.keys, "left_semi")
+
     def merge(self, incoming: DataFrame, version: int) -> None:
         """Guarded upserts and tombstones on the version before; ``incoming`` has the view's columns."""
         rows = incoming.select(*self.schema.names)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillgraph.operators.views import live
-from quillgraph.streaming.maintain import MaintainedView, SnapshotTable, fold_stream
+from quillgraph.streaming.maintain import MaintainedView, SnapshotTable, change_stream, fold_stream
 
 SCHEMA = "customer long, status string, n long, projection_seq long, is_deleted boolean"
 
@@ -50,6 +50,24 @@ def test_a_merge_rewrites_only_the_buckets_that_it_touches(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v")) == ["v0", "v4", "v5", "v6"]
 
 
+def test_a_sink_probes_and_deletes(spark, tmp_path):
+    table = SnapshotTable(spark, f"file://{tmp_path}/s", "id long, v string, projection_seq long, is_deleted boolean", ["id"], buckets=4)
+    table.upsert(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, v string, projection_seq long"), 0)
+    table.delete(spark.createDataFrame([(2, 5)], "id long, projection_seq long"), 1)
+    table.upsert(spark.createDataFrame([(2, "late", 3)], "id long, v string, projection_seq long"), 2)
+    got = table.probe(spark.createDataFrame([(2,), (9,)], "id long")).collect()
+    assert [(r.id, r.v, r.projection_seq, r.is_deleted) for r in got] == [(2, None, 5, True)]
+    table.close()
+
+
+def test_a_change_stream_is_filtered_by_type(spark, tmp_path):
+    source = f"file://{tmp_path}/log"
+    spark.createDataFrame([("vtx.a.1", "a", 1, False), ("vtx.b.1", "b", 2, False)], "key string, label string, seq long, is_deleted boolean").write.parquet(source)
+    query = change_stream(spark, source, ["b"]).writeStream.format("memory").queryName("log").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [r.key for r in spark.table("log").collect()] == ["vtx.b.1"]
+
+
 def test_changes_arrive_as_a_stream(spark, tmp_path):
     source = f"file://{tmp_path}/changes"
     spark.createDataFrame([(1, 1), (2, 2)], "customer long, seq long").write.parquet(source)
