@@ -6,7 +6,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgraph.llm import bpe, mixing, simhash
+from quillgraph.llm import bpe, mixing, shared, simhash
 from quillgraph.llm.shared import connected_components, materialize
 
 from .test_lines import brute as brute_lines
@@ -106,8 +106,10 @@ def test_an_empty_table_passes_all_stages(spark):
     assert docs.columns == ["doc_id", "ids", "n_tokens"] and docs.count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 50)], [(k % 7, k) for k in range(100)] + [(500, 501), (501, 502)]])
-def test_components_against_a_loop(spark, edges):
+def test_components_against_a_loop(spark, monkeypatch, few, edges):
+    monkeypatch.setattr(shared, "FEW_EDGES", few)
     root = {x: x for e in edges for x in e}
 
     def find(x):
