@@ -14,6 +14,26 @@ def gaps(rows: DataFrame, entity: str = "entity_key", prefix: str = "missing_")
     return rows.where(F.coalesce("violating", F.lit(False))).select(entity, F.explode(F.filter(each, lambda g: g.isNotNull())).alias("gap"))
 
 
+class ContractError(ValueError):
+    """Rows that are no target rows: refused when the plan is built."""
+
+
+def target_rows(rows: DataFrame, target_id: str, entity: str = "entity_key", prefix: str = "missing_") -> DataFrame:
+    """The rows of a convergence target, keyed ``<target>.<entity id>``, after a check of what every one must have: an
+    entity key (text), ``violating`` and at least one ``missing_<gap>`` (booleans), a text ``fresh_until`` if there is one.
+
+    Rows whose entity key is no vertex key are left out (``key`` could not be read back).
+    """
+    kinds = dict(rows.dtypes)
+    wrong = [c for c, kind in ((entity, "string"), ("violating", "boolean")) if kinds.get(c) != kind]
+    wrong += [c for c, kind in kinds.items() if c.startswith(prefix) and kind != "boolean"]
+    wrong += ["fresh_until"] if kinds.get("fresh_until", "string") != "string" else []
+    if wrong or not any(c.startswith(prefix) for c in kinds):
+        raise ContractError(f"no target rows: {wrong or 'no gaps'}")
+    found = F.regexp_extract(entity, "^vtx\\.[a-z][a-z0-9]*\\.([^.]+)$", 1)
+    return rows.withColumn("key", F.concat(F.lit(f"{target_id}."), found)).where(found != "").select("key", *rows.columns)
+
+
 def actions(found: DataFrame, playbook: DataFrame) -> DataFrame:
     """Gaps with what the playbook (gap, action, ...) says about them; a gap that it doesn't know has a null action."""
     return found.join(playbook, "gap", "left")

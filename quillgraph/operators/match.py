@@ -259,11 +259,18 @@ def bounded_product(left: DataFrame, right: DataFrame, most: int = MOST_BINDINGS
     return left.crossJoin(right)
 
 
+def nothing(aggregate: str) -> Column:
+    """``count()`` or ``collect()`` without an argument: it folds nothing, so a group has 0 or an empty list."""
+    if aggregate not in ("count", "collect"):
+        raise PatternError(f"{aggregate}() needs an argument")
+    none = F.lit(None).cast("string")
+    return F.count(none) if aggregate == "count" else F.collect_list(none)
+
+
 def group(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """Aggregates grouped by ``keys``; without keys, no input rows give no row (not one of nulls)."""
     if keys:
         return rows.groupBy(*keys).agg(*[c.alias(a) for a, c in aggregates.items()])
-    # count() and collect() of nothing are 0 and [] where there are rows, and no row without any.
     counted = rows.agg(*[c.alias(a) for a, c in aggregates.items()], F.count("*").alias("_rows"))
     return counted.where("_rows > 0").drop("_rows")
 

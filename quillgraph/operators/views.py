@@ -104,6 +104,17 @@ def merge_branches(branches: list[DataFrame], keys: list[str], agreed: list[str]
     return found.select(*keys, *agreed, *[F.col(f"_row.{c}").alias(c) for c in owned])
 
 
+def union_views(parts: dict[str, DataFrame], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of several views that share one target, with the view's name in ``lens``; and the keys that more than one of
+    them claims, with the number of views. Columns are matched by name; one that a view lacks is null."""
+    rows = None
+    for name, part in parts.items():
+        one = part.withColumn("lens", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    claims = rows.select(*keys, "lens").distinct().groupBy(*keys).agg(F.count("*").alias("claims")).where("claims > 1")
+    return rows, claims
+
+
 def keep_real(entries: Column, name: str) -> Column:
     """Entries of a list of structs whose field ``name`` is neither null nor empty; never null."""
     return F.coalesce(F.filter(entries, lambda e: e[name].isNotNull() & (e[name].cast("string") != "")), F.array())

@@ -9,7 +9,7 @@ from ..operators import authz, changes, convergence, history, mutations, output,
 from ..operators import match as M
 from ..sources.graph import class_authority, vertex_key, warehouse_graph
 from .define import query
-from .view_queries import FLOW, history_events, table
+from .view_queries import FLOW, history_events, table, targets
 
 
 def change_log(spark, sf_dir):
@@ -406,3 +406,26 @@ def multi_get(spark, sf_dir):
     """Many keys at once; those that aren't there have a null row."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return views.at_keys(c, "id", table(spark, sf_dir, "orders").select((F.col("o_custkey") + 100).alias("id"))).select("id", "row.name")
+
+
+@query("""SELECT 'overdrawn.' || c_custkey AS key, 'vtx.customer.' || c_custkey AS entity_key, c_acctbal < 0 AS violating FROM customer""")
+def target_contract(spark, sf_dir):
+    """Target rows after the check of their contract, keyed by target and entity."""
+    return convergence.target_rows(targets(spark, sf_dir), "overdrawn").select("key", "entity_key", "violating")
+
+
+@query("""SELECT 'rich' AS lens, c_custkey AS id, 0 AS claims FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'building', c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'both', c_custkey, 2 FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'""")
+def shared_target(spark, sf_dir):
+    """Two views that write to one target, and the keys that both claim."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    rows, claims = views.union_views({"rich": c.where("balance > 5000").select("id", "balance"), "building": c.where("segment = 'BUILDING'").select("id", "segment")}, ["id"])
+    return rows.select("lens", "id", F.lit(0).cast("long").alias("claims")).unionByName(claims.select(F.lit("both").alias("lens"), "id", "claims"))
+
+
+@query("SELECT n_name AS nation, 0 AS n, 0 AS entries FROM nation")
+def zero_argument_aggregates(spark, sf_dir):
+    """count() and collect() without an argument fold nothing."""
+    m = M.Match(warehouse_graph(spark, sf_dir)).node("n", "nation")
+    found = M.group(m.select(nation="n.n_name"), ["nation"], n=M.nothing("count"), e=M.nothing("collect"))
+    return found.select("nation", "n", F.size("e").alias("entries"))

@@ -150,3 +150,13 @@ def test_patterns_over_any_link(spark, company):
         with pytest.raises(match.PatternError):
             wrong()
     assert len(rows(match.scan_all(company))) == 7
+
+
+def test_target_rows_have_their_contract(spark):
+    good = spark.createDataFrame([("vtx.a.1", True, None), ("odd", True, False)], "entity_key string, violating boolean, missing_x boolean")
+    assert rows(convergence.target_rows(good, "t").select("key", "missing_x")) == [("t.1", None)]
+    for wrong in (good.drop("violating"), good.drop("missing_x"), good.withColumn("missing_y", F.lit(1)), good.withColumn("fresh_until", F.lit(1))):
+        with pytest.raises(convergence.ContractError):
+            convergence.target_rows(wrong, "t")
+    with pytest.raises(match.PatternError):
+        match.nothing("max")
