@@ -24,13 +24,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .shared import giving_back
+
 #: Labelled texts a language that the model is fitted on at most; longer texts than this many characters are taken
 #: only where there are not enough others. Texts are never cut.
 FIT_DOCS, FIT_CHARS = 120, 20_000
 #: Languages at most (more distinct labels are an error, not a cut); weights a language; words of a chain.
 MOST_LANGUAGES, WEIGHTS, CHAIN = 1000, 1 << 16, 64
+#: Chains that inference goes through together.
+TOGETHER = 512
 #: Characters labelled together. A longer text is labelled in parts of about this length.
-STREAM = 1 << 19
+STREAM = 1 << 18
 
 LETTERS = regex.compile(r"\p{L}+")
 NO_LANGUAGE = "und"
@@ -277,8 +281,8 @@ class Labeller:
         lens = np.diff(np.r_[starts, len(place)])
         order = np.argsort(lens, kind="stable")
         found = np.zeros((len(place), table.shape[1]))
-        for at in range(0, len(order), 4096):
-            chain = order[at : at + 4096]
+        for at in range(0, len(order), TOGETHER):
+            chain = order[at : at + TOGETHER]
             real = np.arange(lens[chain].max()) < lens[chain][:, None]
             index = (starts[chain][:, None] + np.arange(real.shape[1]))[real]
             padded = np.zeros((*real.shape, table.shape[1]))
@@ -359,12 +363,12 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def run(batches):
         labeller = Labeller(packed) if packed else None
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 texts = part.column(at).to_pylist()
                 found = labeller.texts(texts) if labeller else [(NO_LANGUAGE, 0.0)] * len(texts)
                 columns = [*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
                 yield pa.record_batch(columns, [*names, "lang_pred", "score"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)

@@ -6,6 +6,9 @@ executor costs only the tasks that read a finished table, never the work that ma
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import time
@@ -29,6 +32,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def giving_back(run):
+    """A task's function over batches that gives freed memory back when it ends: Spark keeps its Python workers for later
+    tasks, and what one has once used would stay with it."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # C libraries that have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, or a name like it that no column of ``df`` has (names are compared without regard to case)."""
     taken = {c.lower() for c in df.columns}
