@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import giving_back
+from .shared import give_back, giving_back
 
 #: Labelled texts a language that the model is fitted on at most; longer texts than this many characters are taken
 #: only where there are not enough others. Texts are never cut.
@@ -340,7 +340,9 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    return fit(sample(docs.where(~held_out(id_col)), id_col, text_col, lang_col))
+    found = fit(sample(docs.where(~held_out(id_col)), id_col, text_col, lang_col))
+    give_back()  # the driver lives on
+    return found
 
 
 def has_letter(text_col: str = "text"):

@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # C libraries that have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def giving_back(run):
     """A task's function over batches that gives freed memory back when it ends: Spark keeps its Python workers for later
     tasks, and what one has once used would stay with it."""
@@ -41,9 +48,7 @@ def giving_back(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # C libraries that have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 
@@ -58,6 +63,7 @@ def free_name(df: DataFrame, base: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Shuffle files of finished steps are deleted when the driver collects its garbage; after a large step, ask for it."""
+    give_back()
     for _ in range(2):  # the first round lets go of what Python holds, the second of what that held
         gc.collect()
         spark.sparkContext._jvm.System.gc()
