@@ -81,6 +81,20 @@ def test_wildcard_holders_are_not_left_out(spark):
     assert rows(authz.visible_to(data, grants, "q").select("k")) == [(1,), (2,), (3,)]
 
 
+def test_visible_pairs_are_made_last(spark, monkeypatch):
+    monkeypatch.setattr(authz, "BLOCK", 2)
+    data = spark.createDataFrame([(k, [["a", "b"], ["b", "a", "a"], ["c", None], []][k % 4]) for k in range(40)] + [(0, ["d"]), (None, ["a"])], "k long, authz_anchors array<string>")
+    held = [("p", "a"), ("p", "b"), ("q", "b"), ("q", "b"), ("r", "c"), (None, "a"), ("s", "d"), ("t", None)]
+    grants = spark.createDataFrame([(*h, False) for h in held], "actor_id string, anchor_id string, is_deleted boolean")
+    found = authz.visible_by_anchor(data, grants, "k")
+    shares = [k for k in range(40) if k % 4 < 2]
+    want = [(a, k) for a in ("p", "q", None) for k in shares] + [("r", k) for k in range(2, 40, 4)] + [("p", None), (None, None), ("s", 0)]
+    assert sorted(map(str, rows(found))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Repartition")]  # no pair is shuffled or made distinct
+    assert "Generate" in above and "Join" not in above and "Aggregate" not in above
+
+
 def test_admission_does_not_hang_on_the_parts(spark):
     requests = spark.createDataFrame([("p" if k % 3 else "q", k % 5, k % 7, k) for k in range(200)], "pool string, priority int, since int, request_id long")
     tokens = spark.createDataFrame([("p", 9.9), ("q", 0.5)], "pool string, tokens double")
