@@ -95,6 +95,15 @@ def test_visible_pairs_are_made_last(spark, monkeypatch):
     assert "Generate" in above and "Join" not in above and "Aggregate" not in above
 
 
+def test_copies_of_permissions_and_memberships_dont_multiply(spark):
+    members = spark.createDataFrame([("p", 1), ("p", 1), ("p", 2), ("q", 3)], "actor_id string, role_id int").repartition(2)
+    permissions = spark.createDataFrame([(1, "read", "a")] * 500 + [(2, "read", "a"), (2, "write", None)], "role_id int, operation string, scope string")
+    found = authz.permission_union(members, permissions)
+    assert rows(found.select("actor_id", F.to_json("permissions"))) == [("p", '[{"operation":"read","scope":"a"},{"operation":"write"}]'), ("q", "[]")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Join") :].count("Aggregate") == 2  # both sides come distinct to the join
+
+
 def test_admission_does_not_hang_on_the_parts(spark):
     requests = spark.createDataFrame([("p" if k % 3 else "q", k % 5, k % 7, k) for k in range(200)], "pool string, priority int, since int, request_id long")
     tokens = spark.createDataFrame([("p", 9.9), ("q", 0.5)], "pool string, tokens double")
