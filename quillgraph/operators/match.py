@@ -118,11 +118,11 @@ class Match:
             raise PatternError(f"{start} is no {here}: {name} doesn't lead anywhere")
         return here, there
 
-    def _pairs(self, start: str, name: str, direction: str, payload: bool = False) -> DataFrame:
+    def _pairs(self, start: str, name: str, direction: str, payload: bool = False, collapse: bool = True) -> DataFrame:
         link = self.graph.links[name]
         if direction == "both" and link.src_label != link.dst_label:  # ends of two types: only one way is possible
             direction = "out" if self.labels[start] == link.src_label else "in"
-        return link.pairs(direction, payload)
+        return link.pairs(direction, payload, collapse)
 
     def hop(self, start: str, name: str, end: str, direction: str = "out", optional: bool = False, where=None, link: str | None = None, check: bool = True, **props) -> Match:
         """``(start)-[:name]->(end {props})``. ``where`` and ``props`` belong to the hop: with ``optional`` a row that
@@ -232,9 +232,13 @@ class Match:
         aggregates over the branch's distinct ends, instead of a product of branches and one grouping over it.
         ``link_where`` is a condition on the relationship: ``lambda r: r.link.<field>``."""
         _, there = self._end(start, name, direction)
-        pairs = self._pairs(start, name, direction, payload=link_where is not None)
+        pairs = self._pairs(start, name, direction, payload=link_where is not None, collapse=False)
         if link_where is not None:  # parallel links: an end counts once if any of them meets the condition
-            pairs = pairs.where(F.coalesce(link_where(pairs), F.lit(False))).select("here", "there").distinct()
+            pairs = pairs.where(F.coalesce(link_where(pairs), F.lit(False))).select("here", "there")
+        kind = self.graph.links[name]
+        if link_where is not None or not kind.unique or direction == "both":
+            # Dealt by the end once, for the collapse and for the join with the ends, into tasks that follow the table.
+            pairs = pairs.repartition(kind.tasks(), "there").distinct()
         pairs = pairs.withColumnRenamed("there", "x__id")
         ends = pairs.join(self._vertices("x", there, where, {}), "x__id")
         folded = ends.groupBy(F.col("here").alias(f"{start}__id")).agg(*[f(ends).alias(alias) for alias, f in aggregates.items()])

@@ -12,6 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks that the links of one split of a table are dealt into.
+TASKS_A_SPLIT = 8
+
 
 @dataclass
 class VertexType:
@@ -36,15 +39,20 @@ class LinkType:
     def live(self) -> DataFrame:
         return self.df.where(~F.coalesce("is_deleted", F.lit(False))) if "is_deleted" in self.df.columns else self.df
 
-    def pairs(self, direction: str, payload: bool = False) -> DataFrame:
+    def tasks(self) -> int:
+        """Tasks to deal all links into: some for each split of the table, so that what one task holds doesn't grow with it.
+        Only plans; a computed table with shuffles of its own would run them for it."""
+        return max(TASKS_A_SPLIT * self.df.rdd.getNumPartitions(), int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def pairs(self, direction: str, payload: bool = False, collapse: bool = True) -> DataFrame:
         """``(here, there)`` for an outward, inward or either-way hop; parallel links collapse unless the payload is
-        asked for. A hop never returns to where it starts."""
+        asked for, or ``collapse`` is false. A hop never returns to where it starts."""
         out = self.live().select(F.col("src").alias("here"), F.col("dst").alias("there"), *([F.struct("*", F.lit(self.name).alias("name"), link_key(self, F.col("src"), F.col("dst")).alias("key")).alias("link")] if payload else []))
         back = out.select(F.col("there").alias("here"), F.col("here").alias("there"), *(["link"] if payload else []))
         rows = {"out": out, "in": back}[direction] if direction != "both" else out.unionByName(back)
         if self.src_label == self.dst_label:
             rows = rows.where("here <> there")
-        return rows if payload or (self.unique and direction != "both") else rows.distinct()
+        return rows if payload or not collapse or (self.unique and direction != "both") else rows.distinct()
 
 
 class OnDemand(dict):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import values as V
 from quillgraph.functions.guards import compile_guard
 from quillgraph.operators import convergence, history, match, mutations, views
-from quillgraph.sources.graph import Graph
+from quillgraph.sources.graph import TASKS_A_SPLIT, Graph
 
 
 @pytest.fixture()
@@ -29,6 +29,16 @@ def test_hops_collapse_parallel_links_and_skip_loops_and_the_deleted(graph):
     assert pairs(m.hop("a", "in", "b", "both").where(lambda r: r["a.id"] == 1).select(b="b.id")) == [(2,), (3,)]
 
 
+def test_folded_links_are_dealt_by_the_size_of_their_table(spark):
+    links = spark.createDataFrame([(k % 6, k % 3) for k in range(60)] + [(1, None), (9, 1)], "a long, b long").repartition(5)
+    g = Graph(spark).add_vertices("a", spark.range(6), "id").add_vertices("b", spark.range(4), "id").add_links("to", links, ("a", "a"), ("b", "b"))
+    m = match.Match(g).node("b", "b").fold("b", "to", "in", n=lambda a: F.count("*"), distinct=lambda a: F.count_distinct("x__id"))
+    assert pairs(m.df) == [(0, 2, 2), (1, 2, 2), (2, 2, 2), (3, None, None)]
+    plan = m.df._jdf.queryExecution().optimizedPlan().toString()
+    tasks = 5 * TASKS_A_SPLIT  # however many partitions shuffles have otherwise
+    assert any("RepartitionByExpression" in line and line.endswith(f", {tasks}") for line in plan.split("\n"))
+
+
 def test_optional_hops_keep_their_row(graph):
     m = match.Match(graph).node("a", "place")
     found = m.hop("a", "in", "b", optional=True, where=lambda b: b.name == "c").select(a="a.id", b="b.id", key="b.key")
