@@ -123,3 +123,14 @@ def test_components_against_a_loop(spark, monkeypatch, few, edges):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: find(x) for x in linked}
     assert connected_components(spark.createDataFrame(edges, "src long, dst long")).select(F.count("*")).first()[0] == len(linked)
+
+
+def test_components_leave_little_on_the_driver(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(shared, "release", rounds.append)
+    edges = spark.range(30_000).select((F.col("id") + 1).alias("src"), (F.col("id") - F.col("id") % 10).alias("dst"))
+    few = connected_components(edges).select(F.count("*"), F.countDistinct("root"), F.min("root")).first()
+    assert not rounds and few == (30_001, 1, 0)  # 30,000 edges are no reason for rounds of jobs
+    monkeypatch.setattr(shared, "FEW_EDGES", 0)
+    again = connected_components(edges.where("id < 300")).select(F.count("*"), F.countDistinct("root")).first()
+    assert rounds and again == (301, 1)
