@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokencount
-from .shared import giving_back
+from .shared import map_batches
 
 #: Distinct words, and bytes of them, after which a task's numbering starts again.
 MOST_WORDS, MOST_BYTES = 500_000, 1 << 25
@@ -384,9 +384,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     one = F.col(id_col).cast("long").alias("id")
     rows = docs.select((F.struct(one, *keep) if keep else one).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    numbered = rows.mapInArrow(giving_back(_number_words(pattern, ranks)), f"id {kind}, place array<int>, word array<string>, long array<struct<word:int,pieces:array<int>>>, fresh boolean")
+    numbered = map_batches(rows, _number_words(pattern, ranks), f"id {kind}, place array<int>, word array<string>, long array<struct<word:int,pieces:array<int>>>, fresh boolean")
     folded = numbered.select("id", "place", fold_merges(F.col("word"), rank_literal(docs.sparkSession, ranks)).alias("word"), "long", "fresh")
-    found = folded.mapInArrow(giving_back(_join_ids(ranks, with_bytes)), f"id {kind}, ids array<int>" + ", bytes binary" * with_bytes)
+    found = map_batches(folded, _join_ids(ranks, with_bytes), f"id {kind}, ids array<int>" + ", bytes binary" * with_bytes)
     return found.select("id.id", *found.columns[1:], *[f"id.{c}" for c in keep]) if keep else found
 
 

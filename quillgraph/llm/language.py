@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import give_back, giving_back
+from .shared import give_back, map_batches
 
 #: Labelled texts a language that the model is fitted on at most; longer texts than this many characters are taken
 #: only where there are not enough others. Texts are never cut.
@@ -373,4 +373,4 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                 yield pa.record_batch(columns, [*names, "lang_pred", "score"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(giving_back(run), schema)
+    return map_batches(rows, run, schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table, connected_components, giving_back, link_by_offset, stars
+from .shared import Table, connected_components, link_by_offset, map_batches, stars
 
 SEED = 42
 #: Reference fingerprints; any fixed spread of bits serves, so they come from a rule.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), batch.column(2)], ["id", "fp", "text_key"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    return kept.mapInArrow(giving_back(run), "id long, fp long, text_key long")
+    return map_batches(kept, run, "id long, fp long, text_key long")
 
 
 def _segment_keys(max_bits: int):
@@ -146,7 +146,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
         if held is not None and len(held[0]):
             yield solve(held)
 
-    return dealt.select("key", "ci", "cj", "c", "fp", "p0", "p1").mapInArrow(giving_back(run), "src long, dst long")
+    return map_batches(dealt.select("key", "ci", "cj", "c", "fp", "p0", "p1"), run, "src long, dst long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:

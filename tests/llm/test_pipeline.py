@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -134,3 +135,25 @@ def test_components_leave_little_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(shared, "FEW_EDGES", 0)
     again = connected_components(edges.where("id < 300")).select(F.count("*"), F.countDistinct("root")).first()
     assert rounds and again == (301, 1)
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    """Whatever the number of rows; a bound that the session has stays."""
+    docs = spark.createDataFrame([(k, f"{k} " + "some words " * 1000) for k in range(3000)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 30_000_000 and max(got) < 2 * shared.BATCH_BYTES
+        spark.conf.set(key, "1000000")
+        shared.map_batches(docs, sizes, "n long")
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
