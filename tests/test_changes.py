@@ -95,6 +95,19 @@ def test_visible_pairs_are_made_last(spark, monkeypatch):
     assert "Generate" in above and "Join" not in above and "Aggregate" not in above
 
 
+@pytest.mark.parametrize("strip", [1, 3, 64])
+def test_a_task_holds_the_pairs_of_a_strip(spark, monkeypatch, strip):
+    """What is made of two blocks is not compiled into one step, which would hold all of their pairs at once."""
+    monkeypatch.setattr(authz, "STRIP", strip)
+    data = spark.createDataFrame([(k, ["a"]) for k in range(50)], "k long, authz_anchors array<string>")
+    grants = spark.createDataFrame([(f"p{k}", "a", False) for k in range(7)], "actor_id string, anchor_id string, is_deleted boolean")
+    found = authz.visible_by_anchor(data, grants, "k")
+    assert rows(found) == sorted(((f"p{a}", k) for a in range(7) for k in range(50)), key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    pairs, strips = plan.split("Repartition 4, false")[0], plan.split("Repartition 4, false")[1].split("Repartition 4, true")[0]
+    assert pairs.count("inline") == 2 and "explode" in strips and "inline" not in strips
+
+
 def test_copies_of_permissions_and_memberships_dont_multiply(spark):
     members = spark.createDataFrame([("p", 1), ("p", 1), ("p", 2), ("q", 3)], "actor_id string, role_id int").repartition(2)
     permissions = spark.createDataFrame([(1, "read", "a")] * 500 + [(2, "read", "a"), (2, "write", None)], "role_id int, operation string, scope string")
